@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, topk, url_filter
+from . import language, mixing, sharding, simhash, topk, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(3))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), lambda c: part(c) != 1)
+    found = toxicity.score_documents(docs, model, threshold=0.7)
+    return found.select("doc_id", (part(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -23,6 +31,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    found = language.identify(docs, language.learn(docs, part != 2))
+    return found.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
@@ -37,8 +52,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_topk": op4_topk,
     "op5_sharding": op5_sharding,
+    "op6_language": op6_language,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
