@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from math import sqrt
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 #: Bytes that no text in UTF-8 has, in a fixed order.
 CARRIER = bytes((0xC0, 0xF5, 0xFF, 0xC1, 0xF9, 0xFD, 0xF6, 0xFB, 0xC0, 0xFA, 0xF8, 0xC1, 0xFE, 0xF7, 0xFC, 0xFF)) * 2
 WINDOW = 48
+MATCH = 4
 CACHE = 300_000
 #: ASCII characters that aren't letters or digits part words.
 PARTS = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
@@ -47,20 +48,29 @@ def windows(text: str | None) -> list[bytes]:
 
 
 class Distance(dict):
-    """Window -> bytes that the toxic dictionary saves; worked out when first asked for."""
+    """Window -> bytes that the toxic dictionary saves; worked out when first asked for.
 
-    def __init__(self, toxic: bytes, ordinary: bytes, level: int):
+    A window that has no ``MATCH`` bytes in common with the toxic dictionary
+    finds no match there, so that dictionary saves nothing: 0, uncompressed.
+    """
+
+    def __init__(self, toxic: bytes, ordinary: bytes):
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
             held = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
+            search = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=13, search_log=2, min_match=MATCH, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False, write_checksum=False)
+            return zstandard.ZstdCompressor(dict_data=held, compression_params=search)
 
         self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
+        self.grams = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
 
     def __missing__(self, window: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        block = b" " + window + b" " + CARRIER
-        found = self[window] = len(self.ordinary.compress(block)) - len(self.toxic.compress(block))
+        block, found = b" " + window + b" ", 0
+        if any(block[i : i + MATCH] in self.grams for i in range(len(block) - MATCH + 1)):
+            block += CARRIER
+            found = len(self.ordinary.compress(block)) - len(self.toxic.compress(block))
+        self[window] = found
         return found
 
 
@@ -95,9 +105,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 class Toxicity:
-    def __init__(self, toxic: list[str], ordinary: list[str], *, toxic_bytes: int = 4096, ordinary_bytes: int = 32768, level: int = 3, chance: float = 6.0):
-        """``chance``: standard errors by which a word's share of toxic documents must exceed that of all."""
-        self.level, self.ready = level, bool(toxic) and bool(ordinary)
+    def __init__(self, toxic: list[str], ordinary: list[str], odds: float | None = None, *, toxic_bytes: int = 4096, ordinary_bytes: int = 32768, chance: float = 6.0):
+        """``odds``: of toxic against ordinary documents where the samples come from, if not the samples' own.
+        ``chance``: standard errors by which a word's share of toxic documents must exceed that of all."""
+        self.ready = bool(toxic) and bool(ordinary)
         if not self.ready:
             return
         # two of three documents for the dictionaries, the third to calibrate
@@ -106,6 +117,7 @@ class Toxicity:
         x = np.array([features(t, distance) for t in [*toxic[::3], *ordinary[::3]]]).reshape(-1, 2 * len(STEPS) + 3)
         y = np.r_[np.ones(len(toxic[::3])), np.zeros(len(ordinary[::3]))]
         self.weights = fit_logistic(x, y) if len(x) else np.zeros(2 * len(STEPS) + 3)
+        self.weights[0] += log(odds * len(ordinary) / len(toxic)) if odds else 0.0
 
     def _train(self, toxic: list[str], ordinary: list[str], toxic_bytes: int, ordinary_bytes: int, chance: float) -> None:
         had, common = [Counter(), Counter()], Counter()
@@ -125,7 +137,7 @@ class Toxicity:
         self.toxic, self.ordinary = dictionary(marks, toxic_bytes), dictionary(common, ordinary_bytes)
 
     def distance(self) -> Distance:
-        return Distance(self.toxic, self.ordinary, self.level)
+        return Distance(self.toxic, self.ordinary)
 
     def score(self, text: str | None, distance: Distance) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(features(text, distance), self.weights), -30, 30))))
@@ -146,7 +158,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Callable[[Column], Column],
     chosen = marked.where("train").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "y")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id").collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
-    return Toxicity([r["text"] for r in rows if r["y"]], [r["text"] for r in rows if not r["y"]])
+    n = {r["y"]: r["n"] for r in marked.where("train").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    odds = n[True] / n[False] if n.get(True) and n.get(False) else None
+    return Toxicity([r["text"] for r in rows if r["y"]], [r["text"] for r in rows if not r["y"]], odds)
 
 
 def score_documents(docs: DataFrame, model: Toxicity, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
