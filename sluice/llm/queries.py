@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, mixing, sharding, simhash, topk, toxicity, url_filter
+from . import decontam, language, mixing, pii, sharding, simhash, topk, toxicity, url_filter
 from .common import table
 
 #: The rules of the URL query.
@@ -42,6 +42,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": op4_topk,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
+    "op7_surrogates": op7_surrogates,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
