@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Languages, *, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            texts = [t or "" for t in b.column("_text").to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
             if m.names:
                 found, some = m.entropies(texts)
                 best = found.argmin(1)
@@ -194,11 +194,12 @@ def identify(docs: DataFrame, model: Languages, *, id_col: str = "doc_id", text_
                 score = np.where(some, score, 0.0)
             else:
                 names, score, low, some = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score), pa.array(low, mask=~some)], names=[*b.schema.names[:-1], "lang_pred", "score", "bits"])
+            kept = [b.column(i) for i in range(1 + len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score), pa.array(low, mask=~some)], names=[*b.schema.names[: len(kept)], "lang_pred", "score", "bits"])
 
-    rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(id_col, *keep) if text_col in keep else docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
+    at = rows.columns.index(text_col if text_col in keep else "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: 1 + len(keep)])
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, bits double")
 
 

@@ -62,10 +62,11 @@ def fingerprints(docs: DataFrame, words: int, distinct: bool, id_col: str, text_
         for b in batches:
             texts = b.column("text").cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py(), words, distinct) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            whole = [xxhash.xxh3_128_hexdigest(t.as_py() or b"") for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found.view(np.int64)), pa.array(whole)], names=["id", "fp", "whole"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, fp long, whole string")
 
 
 def segments(bits: list[int], differ: int) -> list[list[int]]:
@@ -96,7 +97,10 @@ def first_key(x: np.ndarray, parts: list[list[int]]) -> np.ndarray:
 
 def forest(fps: np.ndarray, bit: int, parts: list[list[int]], differ: int) -> list[tuple[int, int]]:
     """Links that span what the bucket's own links connect."""
-    links, left = [], np.arange(len(fps))
+    # begin in the middle: what many were made from is linked to most of them
+    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(fps), bitorder="little").view(np.uint64)[0]
+    links, left = [], np.argsort(np.bitwise_count(fps ^ middle), kind="stable")
     while len(left) > 1:
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
@@ -216,7 +220,55 @@ def components(edges: DataFrame) -> DataFrame:
     return checkpointed(roots)
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct: bool = False, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles, letters and spaces as for fingerprints."""
+    tokens = text.lower().split() if text else []
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    shingles = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same / (len(a) + len(b) - same)
+
+
+def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(whole, component_id) of every distinct text, from links whose texts are similar enough."""
+    texts = checkpointed(rows.groupBy("whole").agg(F.min(F.struct("id", "fp")).alias("m")).select("whole", F.col("m.id").alias("first"), F.col("m.fp").alias("fp")))
+    head = texts.groupBy("fp").agg(F.min(F.struct("first", "whole")).alias("m")).select("fp", F.col("m.whole").alias("head"))
+    side = lambda c, out: head.select(F.col("fp").alias(c), F.col("head").alias(out))
+    between = found.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    within = texts.join(head, "fp").where("whole <> head").select(F.col("head").alias("x"), F.col("whole").alias("y"))
+    edges = checkpointed(between.unionByName(within).distinct())
+    linked = edges.select(F.col("x").alias("whole")).union(edges.select("y")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingle_set(t.as_py(), words).tobytes() for t in b.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column("whole"), pa.array(held, pa.binary())], names=["whole", "shingles"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [jaccard(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) >= least for p, q in zip(b.column("p"), b.column("q"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    wanted = texts.join(linked, "whole", "left_semi").select(F.col("first").alias("id"), "whole")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # where an id is repeated, any of its texts may stand for it
+    held = own.join(wanted, own["id"].eqNullSafe(wanted["id"])).select("whole", "text")
+    held = checkpointed(held.mapInArrow(sets, "whole string, shingles binary").dropDuplicates(["whole"]))
+    pairs = edges.join(held.select(F.col("whole").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("whole").alias("y"), F.col("shingles").alias("q")), "y")
+    roots = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "p", "q").mapInArrow(similar, "a string, b string"))
+    of = texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "first")
+    least_id = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return of.join(least_id, "root").select("whole", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct: bool = False, verify: tuple[int, float] | None = None, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and component of every document.
 
     Texts are lower-cased (A-Z), cut at ASCII white space, and hashed by
@@ -224,6 +276,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct:
     fewer differing bits. Returns ``id_col``, fingerprint (16 hex digits) and
     component_id, the smallest id reachable, one row for each input row.
 
+    With ``verify`` = (n, s) equal fingerprints and links join texts only where
+    the sets of their n-word shingles have a Jaccard similarity of s or more.
+
     Null and empty texts have fingerprint 0 and are linked like any other; a
     text with fewer words is one shingle. Equal fingerprints are one node, so
     copies cost nothing beyond their own rows. Rows with a null id get the
@@ -233,6 +288,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct:
     rows = checkpointed(fingerprints(docs, words, distinct, id_col, text_col))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first")))
     found = links(nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), bits, bucket_rows)
+    if verify:
+        of = _verified(rows, docs, found, *verify, id_col, text_col)
+        return rows.join(of, "whole", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     roots = components(found)
     first = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = first.groupBy("root").agg(F.min("first").alias("component_id"))
