@@ -35,7 +35,7 @@ STEP = 8
 SHORT, LONG = 2, 4
 OUT = 0xFFFF
 ROWS = 64  # of the sketch in a block
-BATCH = 1 << 17  # words that a task looks at a time
+BATCH = 1 << 16  # words that a task looks at a time
 
 
 class Item(NamedTuple):
@@ -66,8 +66,12 @@ class Bench:
         self.idf = np.zeros(OUT + 1, np.float32)
         self.idf[: len(passages)] = np.log((1 + total) / (1 + passages)) + 1
 
-    def sketch(self, words: np.ndarray, omega: np.ndarray, out: np.ndarray) -> None:
-        """Add A'A omega of passages (rows of word numbers, OUT for none) to out."""
+    def sketch(self, passages: np.ndarray, omega: np.ndarray, out: np.ndarray) -> None:
+        """Add A'A omega of passages (rows of word numbers, OUT for none) to out, a cacheful at a time."""
+        for a in range(0, len(passages), 256):
+            self._sketch(passages[a : a + 256], omega, out)
+
+    def _sketch(self, words: np.ndarray, omega: np.ndarray, out: np.ndarray) -> None:
         w = self.idf[words]
         w /= np.sqrt(np.maximum((w * w).sum(1, keepdims=True), 1e-12))
         row, col = np.nonzero(w)
@@ -166,8 +170,9 @@ def _read(docs: DataFrame, bench: Bench, id_col: str, text_col: str) -> DataFram
         counts = np.zeros(OUT + 2, np.int64)
         for b in batches:
             coded = [bench.encode(t) for t in b.column("text").to_pylist()]
-            for words in coded:
-                p = np.sort(_passages(words), axis=1)
+            laid = [_passages(words) for words in coded] or [np.zeros((0, PASSAGE), np.uint16)]
+            for a in range(0, len(laid), 256):
+                p = np.sort(np.concatenate(laid[a : a + 256]), axis=1)
                 counts[: OUT + 1] += np.bincount(p[:, 0], minlength=OUT + 1)
                 counts[: OUT + 1] += np.bincount(p[:, 1:][p[:, 1:] != p[:, :-1]], minlength=OUT + 1)
                 counts[OUT + 1] += len(p)
@@ -235,7 +240,7 @@ def _sketch(read: DataFrame, bench: Bench, omega: np.ndarray) -> np.ndarray:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55, enough: float = 0.7, partly: float = 0.5, answer: float = 0.75, answer_words: int = 8, rank: int = 64, items_per_block: int = 1000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.6, enough: float = 0.7, partly: float = 0.5, answer: float = 0.75, answer_words: int = 8, rank: int = 64, items_per_block: int = 1000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """Pairs (document, item) where the document holds the item or a paraphrase of it.
 
     Windows with a latent cosine of ``cosine`` or more are candidates; a leak
@@ -285,6 +290,8 @@ def _search(bench: Bench, cosine: float, enough: float, partly: float, answer: f
         for d, i, start, size, near in bench.candidates(docs, cosine):
             item, n = bench.items[i], len(bench.items[i].words)
             region = docs[d][max(0, start - n) : start + size + n].tolist()
+            if sum(map(set(region).__contains__, bench.items[i].words)) < partly * n:
+                continue  # no subsequence is longer than the words in common
             overlap = common_subsequence(item.words, region) / n
             if overlap < partly:
                 continue
