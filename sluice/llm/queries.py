@@ -88,6 +88,34 @@ ORACLES: dict[str, str] = {
           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",
+    "op9_mixing": r"""
+        WITH d AS (
+          SELECT doc_id AS id, source, coalesce('s' || source, 'n') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                 CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS draw,
+                 greatest(1, CAST(ceil((SELECT count(*) FROM documents) / 50000) AS BIGINT)) AS shards FROM documents),
+        z AS (SELECT *, draw % shards AS shard FROM d),
+        s1 AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY ALL),
+        s2 AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s1),
+        s3 AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+        s4 AS (SELECT *, least(cap, coalesce(max(CASE WHEN cap / weight >= level THEN level END) OVER () * weight, cap)) AS target FROM s3),
+        s5 AS (SELECT *, CAST(floor(budget / 64 + 0.5) AS BIGINT) AS seats, CAST(ceil(source_size * 2 / 64.0::DOUBLE) AS BIGINT) AS most FROM s4),
+        s6 AS (SELECT *, CAST(least(most, floor(coalesce(target * seats / nullif(sum(target) OVER (), 0), 0) + 0.5)) AS BIGINT) AS first FROM s5),
+        s7 AS (SELECT *, CAST(seats - sum(first) OVER () AS BIGINT) AS short FROM s6),
+        s8 AS (SELECT *, unnest(range(CASE WHEN short > 0 THEN least(short, most - first) WHEN short < 0 THEN least(-short, first) ELSE 0 END)) AS j FROM s7 WHERE target > 0),
+        s9 AS (SELECT key, short, row_number() OVER (ORDER BY CASE WHEN short > 0 THEN target / (2 * (first + j) + 1) ELSE -target / (2 * (first - j) - 1) END DESC, key, j) AS r FROM s8),
+        s10 AS (SELECT s7.*, first + coalesce((SELECT sum(sign(s9.short)) FROM s9 WHERE s9.key = s7.key AND r <= abs(s9.short)), 0) AS source_quota FROM s7),
+        c1 AS (SELECT key, shard, CAST(sum(size) AS BIGINT) AS cell_size FROM z GROUP BY ALL),
+        c2 AS (SELECT c1.*, source_size, target, source_quota AS seats, CAST(ceil(cell_size / 64.0::DOUBLE) AS BIGINT) AS blocks FROM c1 JOIN s10 USING (key)),
+        c3 AS (SELECT *, blocks * 2 AS most, CAST(least(blocks * 2, floor(coalesce(cell_size * seats / nullif(sum(cell_size) OVER (PARTITION BY key), 0), 0) + 0.5)) AS BIGINT) AS first FROM c2),
+        c4 AS (SELECT *, CAST(seats - sum(first) OVER (PARTITION BY key) AS BIGINT) AS short FROM c3),
+        c5 AS (SELECT *, unnest(range(CASE WHEN short > 0 THEN least(short, most - first) WHEN short < 0 THEN least(-short, first) ELSE 0 END)) AS j FROM c4 WHERE cell_size > 0),
+        c6 AS (SELECT key, shard, short, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN short > 0 THEN cell_size / (2 * (first + j) + 1) ELSE -cell_size / (2 * (first - j) - 1) END DESC, shard, j) AS r FROM c5),
+        c7 AS (SELECT c4.*, CAST(first + coalesce((SELECT sum(sign(c6.short)) FROM c6 WHERE c6.key = c4.key AND c6.shard = c4.shard AND r <= abs(c6.short)), 0) AS BIGINT) AS quota FROM c4),
+        c8 AS (SELECT *, quota // greatest(blocks, 1) AS rounds, quota % greatest(blocks, 1) AS rest, CAST('0x' || substr(md5('mix|run|' || key || '|' || shard), 1, 8) AS BIGINT) % greatest(blocks, 1) AS at_ FROM c7),
+        p AS (SELECT z.*, sum(size) OVER (PARTITION BY key, shard ORDER BY draw, id, size ROWS UNBOUNDED PRECEDING) AS end_ FROM z)
+        SELECT id AS doc_id, source, size, source_size, target, shard, quota,
+          CAST(rounds * size + greatest(0, least(end_, least(at_ + rest, blocks) * 64) - greatest(end_ - size, at_ * 64)) + greatest(0, least(end_, (at_ + rest - blocks) * 64) - greatest(end_ - size, 0)) AS BIGINT) AS taken
+        FROM p JOIN c8 USING (key, shard)""",
     "op10_url_filter": """
         WITH p AS (
           SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
