@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 # Licence notices by family.
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Released under the MIT License."),
@@ -174,6 +176,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6,
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
     cue = "(?i)" + "|".join(re.escape(c) for c in CUES)
     words = lines.where(F.col("line").rlike(cue)).select("id", "paragraph", F.xxhash64("line").alias("h"), _words(F.col("line")).alias("words"))
+    words = checkpointed(words.dropDuplicates(["id", "paragraph", "h"]))  # few lines have a cue; the texts are read once
     weights = spark.createDataFrame([(g, *map(float, model.weights[i])) for i, g in enumerate(model.features) if model.weights[i].any()], "gram string, " + ", ".join(f"w{k} double" for k in range(n)))
     each = words.select("id", "paragraph", "h", F.explode(F.array_distinct(F.concat(*(_grams(F.col("words"), k) for k in (1, 2, 3))))).alias("gram"))
     # a notice has known n-grams: a line without any falls to the constants, where `none` leads
@@ -190,7 +193,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6,
         own = tokens(t)
         templates.append((f, i, t, sorted({" ".join(own[k : k + 2]) for k in range(len(own) - 1)} or set(own))))
     templates = spark.createDataFrame(templates, "likely string, no int, template string, pairs array<string>")
-    pairs = words.select("id", "paragraph", "h", F.array_distinct(F.concat(_grams(F.col("words"), 1), _grams(F.col("words"), 2))).alias("own")).dropDuplicates(["id", "paragraph", "h"])
+    pairs = words.select("id", "paragraph", "h", F.array_distinct(F.concat(_grams(F.col("words"), 1), _grams(F.col("words"), 2))).alias("own"))
     same = found["id"].eqNullSafe(pairs["id"]) & (found["paragraph"] == pairs["paragraph"]) & (found["h"] == pairs["h"])
     held = found.join(pairs, same).select(found["id"], found["paragraph"], found["h"], "likely", "probability", "own").join(F.broadcast(templates), "likely")
     share = F.size(F.array_intersect("own", "pairs")) / F.size("pairs")

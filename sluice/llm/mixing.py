@@ -4,9 +4,9 @@ Targets are shares of a token budget, held to a multiple of each source's size,
 with what is left over shared again. The budget is cut into blocks of equal
 tokens; sources, and then the shards of each source, get whole numbers of
 blocks by highest quotients votes / (2 seats + 1). In a shard of a source the
-documents lie end to end in a seeded order; full rounds take every block, and
-the blocks that remain are a seeded run of them, so that all but the documents
-at the run's two ends are taken whole.
+documents lie end to end in a seeded order, which begins again at its end; full
+rounds take all, and the blocks that remain are a run of them from a seeded
+block on, so that all but the documents at the run's two ends are taken whole.
 
 Everything is a DataFrame expression. Windows run over a source's cells or over
 one cell; the number of shards grows with the rows, so a cell of a source with
@@ -96,15 +96,18 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
     cells = cells.join(by_source.select("key", "source_size", "target", "source_quota"), "key")
     cells = cells.withColumn("blocks", F.ceil(F.col("cell_size") / blocks)).withColumn("most", F.col("blocks") * most)
     cells = apportion(cells, ["key"], "shard", "cell_size", "source_quota", "most", "quota")
-    some = F.greatest(F.col("blocks"), F.lit(1))
-    cells = cells.select("key", "shard", "source_size", "target", "quota", "blocks", F.floor(F.col("quota") / some).alias("rounds"), F.pmod("quota", some).alias("rest"), F.pmod(seeded(seed, "run", F.col("key"), F.col("shard")), some).alias("at"))
+    # a quota is that many times the block's tokens of the cell's line, which begins again at its end
+    wanted = F.least(F.col("quota") * block_tokens, F.col("cell_size") * most).cast("long")
+    length = F.greatest(F.col("cell_size"), F.lit(1))
+    begin = F.pmod(seeded(seed, "run", F.col("key"), F.col("shard")), F.greatest(F.col("blocks"), F.lit(1))) * block_tokens
+    cells = cells.select("key", "shard", "source_size", "target", "quota", "cell_size", F.floor(wanted / length).alias("rounds"), F.pmod(wanted, length).alias("rest"), begin.alias("at"))
 
     cell = W.partitionBy("key", "shard").orderBy("draw", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     laid = sized.withColumn("end", F.sum("size").over(cell)).withColumn("start", F.col("end") - F.col("size")).join(cells, ["key", "shard"])
 
     def inside(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("end"), hi * block_tokens) - F.greatest(F.col("start"), lo * block_tokens))
+        return F.greatest(F.lit(0), F.least(F.col("end"), hi) - F.greatest(F.col("start"), lo))
 
     until = F.col("at") + F.col("rest")
-    taken = F.col("rounds") * F.col("size") + inside(F.col("at"), F.least(until, F.col("blocks"))) + inside(F.lit(0), until - F.col("blocks"))
+    taken = F.col("rounds") * F.col("size") + inside(F.col("at"), F.least(until, F.col("cell_size"))) + inside(F.lit(0), until - F.col("cell_size"))
     return laid.select(F.col("id").alias(id_col), "source", "size", "source_size", F.col("target").cast("double").alias("target"), "shard", "quota", taken.cast("long").alias("taken"))

@@ -111,11 +111,12 @@ ORACLES: dict[str, str] = {
         c5 AS (SELECT *, unnest(range(CASE WHEN short > 0 THEN least(short, most - first) WHEN short < 0 THEN least(-short, first) ELSE 0 END)) AS j FROM c4 WHERE cell_size > 0),
         c6 AS (SELECT key, shard, short, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN short > 0 THEN cell_size / (2 * (first + j) + 1) ELSE -cell_size / (2 * (first - j) - 1) END DESC, shard, j) AS r FROM c5),
         c7 AS (SELECT c4.*, CAST(first + coalesce((SELECT sum(sign(c6.short)) FROM c6 WHERE c6.key = c4.key AND c6.shard = c4.shard AND r <= abs(c6.short)), 0) AS BIGINT) AS quota FROM c4),
-        c8 AS (SELECT *, quota // greatest(blocks, 1) AS rounds, quota % greatest(blocks, 1) AS rest, CAST('0x' || substr(md5('mix|run|' || key || '|' || shard), 1, 8) AS BIGINT) % greatest(blocks, 1) AS at_ FROM c7),
+        c8 AS (SELECT *, least(quota * 64, cell_size * 2) AS wanted, greatest(cell_size, 1) AS length, CAST('0x' || substr(md5('mix|run|' || key || '|' || shard), 1, 8) AS BIGINT) % greatest(blocks, 1) * 64 AS at_ FROM c7),
+        c9 AS (SELECT *, wanted // length AS rounds, wanted % length AS rest FROM c8),
         p AS (SELECT z.*, sum(size) OVER (PARTITION BY key, shard ORDER BY draw, id, size ROWS UNBOUNDED PRECEDING) AS end_ FROM z)
         SELECT id AS doc_id, source, size, source_size, target, shard, quota,
-          CAST(rounds * size + greatest(0, least(end_, least(at_ + rest, blocks) * 64) - greatest(end_ - size, at_ * 64)) + greatest(0, least(end_, (at_ + rest - blocks) * 64) - greatest(end_ - size, 0)) AS BIGINT) AS taken
-        FROM p JOIN c8 USING (key, shard)""",
+          CAST(rounds * size + greatest(0, least(end_, at_ + rest, cell_size) - greatest(end_ - size, at_)) + greatest(0, least(end_, at_ + rest - cell_size) - greatest(end_ - size, 0)) AS BIGINT) AS taken
+        FROM p JOIN c9 USING (key, shard)""",
     "op10_url_filter": """
         WITH p AS (
           SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
