@@ -116,11 +116,29 @@ def forest(fps: np.ndarray, bit: int, parts: list[list[int]], differ: int) -> li
     return links
 
 
+def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the pairs that join what the pairs before have not."""
+    at: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := at.get(i, i)) != i:
+            at[i] = i = at.get(up, up)
+        return i
+
+    out = []
+    for i, j in pairs:
+        p, q = root(i), root(j)
+        if p != q:
+            at[q] = p
+            out.append((i, j))
+    return out
+
+
 def _sweep(parts: list[list[int]], differ: int):
     def pairs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[cuts, len(keys)])
-        a, b = [], []
+        a, b, near_pairs = [], [], []
         # runs of a few rows: each row with the t-th after it, for all runs at once
         inside = np.repeat(np.where(sizes <= FEW, cuts + sizes, 0), sizes)
         for t in range(1, int(sizes[sizes <= FEW].max(initial=1))):
@@ -129,8 +147,11 @@ def _sweep(parts: list[list[int]], differ: int):
             near = np.bitwise_count(x) <= differ
             i, x = i[near], x[near]
             i = i[first_key(x, parts) == (keys[i] & 63)]
+            near_pairs += zip(i.tolist(), (i + t).tolist(), strict=True)
+        if near_pairs:
+            i, j = np.array(spanning(near_pairs)).T
             a.append(fps[i])
-            b.append(fps[i + t])
+            b.append(fps[j])
         for at, n in zip(cuts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
             own = fps[at : at + n]
             if links := forest(own, int(keys[at] & 63), parts, differ):
@@ -163,27 +184,42 @@ def _sweep(parts: list[list[int]], differ: int):
     return run
 
 
+def _variants(parts: list[list[int]], whole: bool):
+    """(fp, key) of every segment with each bit struck out; the key ends in that bit's number.
+
+    The outermost level has plain keys; below, the bucket is mixed in, and
+    buckets that come to share a key only make more to compare.
+    """
+    bits = np.array([b for part in parts for b in part], np.uint64)
+    masks = np.array([_mask([x for x in part if x != b]) for part in parts for b in part], np.uint64)
+    lows = np.array([min(part) for part in parts for _ in part], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, bucket = b.column("fp").to_numpy().view(np.uint64), b.column("bucket").to_numpy().view(np.uint64)
+            for a in range(0, len(fps), 2048):
+                fp = fps[a : a + 2048, None]
+                value = (fp & masks) >> lows
+                if not whole:
+                    value = (value + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (bucket[a : a + 2048, None] * np.uint64(0xC2B2AE3D27D4EB4F))
+                    value ^= value >> np.uint64(29)
+                key = (value << np.uint64(6)) | bits
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps[a : a + 2048], len(bits)).view(np.int64)), pa.array(key.ravel().view(np.int64))], names=["fp", "key"])
+
+    return run
+
+
 def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None = None) -> DataFrame:
     """Links (a, b) that connect what is linked, from distinct (bucket, fp) rows."""
     bits = list(range(64)) if bits is None else bits
     parts = segments(bits, differ)
-    value, out = {}, []
-    for s, part in enumerate(parts):
-        for bit in part:
-            rest = _mask([x for x in part if x != bit])
-            value[bit] = F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(rest))), min(part))
-    whole = len(bits) == 64  # the outermost level has plain keys; below, the bucket is hashed in
-    for bit, v in value.items():
-        out.append(F.shiftleft(v if whole else F.xxhash64("bucket", v), 6).bitwiseOR(F.lit(bit).cast("long")))
-    keyed = fps.select("fp", F.explode(F.array(*out)).alias("key"))
-
+    keyed = fps.select("bucket", "fp").mapInArrow(_variants(parts, whole=len(bits) == 64), "fp long, key long")
     hot = None
     if min(len(p) for p in parts) > 2:
         # few coarse counts first; only where one is high are the keys themselves counted
-        coarse = F.struct("bucket", *(F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(_mask(p[-8:])))), min(p[-8:])).alias(f"c{i}") for i, p in enumerate(parts)))
-        rows = fps.select(coarse.alias("c"))
-        sizes = [rows.groupBy("c.bucket", f"c.c{i}").count().agg(F.max("count").alias("n")) for i in range(len(parts))]
-        if any((r.collect()[0]["n"] or 0) > bucket_rows for r in sizes):
+        coarse = [F.struct(F.lit(i).alias("part"), "bucket", F.col("fp").bitwiseAND(F.lit(_signed(_mask(p[-8:])))).alias("c")) for i, p in enumerate(parts)]
+        most = fps.select(F.explode(F.array(*coarse)).alias("c")).groupBy("c").count().agg(F.max("count").alias("n")).first()["n"]
+        if (most or 0) > bucket_rows:
             hot = checkpointed(keyed.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"))
             if hot.isEmpty():
                 hot = None
@@ -195,12 +231,12 @@ def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None
             if not own.isEmpty():
                 inner = checkpointed(keyed.join(own, "key").select(F.col("key").alias("bucket"), "fp"))
                 found = found.unionByName(links(inner, differ, bucket_rows, [b for b in bits if b not in part]))
-    return found.distinct()
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); one root for each component."""
-    edges, maps = checkpointed(edges.where("a <> b").select("a", "b").distinct()), []
+    edges, maps = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
     while not edges.isEmpty():
         turn = len(maps)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -221,12 +257,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles, letters and spaces as for fingerprints."""
+    """Sorted 32-bit hashes of the distinct word shingles, letters and spaces as for fingerprints."""
     tokens = text.lower().split() if text else []
     if not tokens:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     shingles = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))}
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, SEED) for x in shingles), np.uint32, len(shingles)))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -253,7 +289,7 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, words: int, le
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [jaccard(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) >= least for p, q in zip(b.column("p"), b.column("q"), strict=True)]
+            ok = [jaccard(np.frombuffer(p.as_py(), np.uint32), np.frombuffer(q.as_py(), np.uint32)) >= least for p, q in zip(b.column("p"), b.column("q"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     wanted = texts.join(linked, "whole", "left_semi").select(F.col("first").alias("id"), "whole")
@@ -261,8 +297,21 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, words: int, le
     # where an id is repeated, any of its texts may stand for it
     held = own.join(wanted, own["id"].eqNullSafe(wanted["id"])).select("whole", "text")
     held = checkpointed(held.mapInArrow(sets, "whole string, shingles binary").dropDuplicates(["whole"]))
-    pairs = edges.join(held.select(F.col("whole").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("whole").alias("y"), F.col("shingles").alias("q")), "y")
-    roots = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "p", "q").mapInArrow(similar, "a string, b string"))
+
+    def holding(some: DataFrame) -> DataFrame:
+        pairs = some.join(held.select(F.col("whole").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("whole").alias("y"), F.col("shingles").alias("q")), "y")
+        return checkpointed(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "p", "q").mapInArrow(similar, "a string, b string"))
+
+    # first one link of each text, to its neighbour with the most; then those links that still part components
+    both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    degree = both.groupBy("y").agg(F.count("*").alias("n"))
+    first = both.join(degree, "y").groupBy("x").agg(F.max(F.struct("n", "y")).alias("m")).select(F.least("x", "m.y").alias("x"), F.greatest("x", "m.y").alias("y")).distinct()
+    held_first = holding(checkpointed(first))
+    roots = components(held_first)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).join(first, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left")
+    rest = rest.where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y").distinct()
+    roots = components(held_first.unionByName(holding(rest)))
     of = texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "first")
     least_id = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return of.join(least_id, "root").select("whole", "component_id")
