@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log, sqrt
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,19 @@ class Distance(dict):
         return found
 
 
+def apart(texts: list[str]) -> list[str]:
+    """The texts without those that share one of two least shingle hashes with an earlier one: copies and near copies."""
+    kept, seen = [], set()
+    for t in texts:
+        w = windows(t)
+        hashes = [crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))]
+        own = {(0, min(hashes)), (1, min(h * 0x9E3779B1 & 0xFFFFFFFF for h in hashes))}
+        if not own & seen:
+            kept.append(t)
+        seen |= own
+    return kept
+
+
 def dictionary(words: Counter, size: int) -> bytes:
     held, n = [], 1
     for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
@@ -111,6 +125,8 @@ class Toxicity:
         self.ready = bool(toxic) and bool(ordinary)
         if not self.ready:
             return
+        # copies would make any word of theirs a mark
+        toxic, ordinary = apart(toxic), apart(ordinary)
         # two of three documents for the dictionaries, the third to calibrate
         self._train(*([t for i, t in enumerate(some) if i % 3] for some in (toxic, ordinary)), toxic_bytes, ordinary_bytes, chance)
         distance = self.distance()
