@@ -87,3 +87,75 @@ def instances(expected: DataFrame, seen: DataFrame, now: Column, alive: int = 60
     """Online against expected instances of each role."""
     online = seen.where(F.col("at") >= now - alive).groupBy("role").agg(F.countDistinct("instance").alias("online"))
     return expected.join(online, "role", "left").withColumn("online", F.coalesce("online", F.lit(0)))
+
+
+def filter_runs(runs: DataFrame, results: DataFrame, tasks: DataFrame, *, status: str | None = None, search: str | None = None, operation: str | None = None, owner=None) -> DataFrame:
+    """Runs by status, by text in their worker or a table of theirs, by an operation among their tasks, and by owner."""
+    each = results.join(tasks.select(F.col("id").alias("task_id"), "table_key", "operation", "owner"), "task_id")
+    out = runs.where(F.col("status") == status) if status else runs
+    if search:
+        hit = each.where(F.lower(F.col("table_key").cast("string")).contains(search.lower())).select(F.col("run_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
+        out = out.join(hit, "id", "left").where(F.col("_hit") | F.lower(F.col("worker").cast("string")).contains(search.lower())).drop("_hit")
+    if operation:
+        out = out.join(each.where(F.col("operation") == operation).select(F.col("run_id").alias("id")), "id", "left_semi")
+    if owner is not None:
+        out = out.join(each.where(F.col("owner") == owner).select(F.col("run_id").alias("id")), "id", "left_semi")
+    return out
+
+
+def latest_results(results: DataFrame) -> DataFrame:
+    """One result for each attempt of a task: a later one replaces it."""
+    rank = W.partitionBy("task_id", "attempt").orderBy(F.desc("id"))
+    return results.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
+
+
+def snapshot_complete(states: DataFrame, snapshots: DataFrame, job: str = "job_id") -> DataFrame:
+    """A job's snapshot is complete if it has none, if it says so, or if a snapshot-only job is done."""
+    s = snapshots.select(job, F.col("done").alias("_done"))
+    joined = states.join(s, job, "left")
+    no_snapshot = F.col("mode").isin("latest", "latest-offset")
+    alone = (F.col("mode") == "snapshot-only") & (F.col("status") == "DONE")
+    return joined.withColumn("complete", F.coalesce(no_snapshot | F.coalesce("_done", alone), F.lit(False))).drop("_done")
+
+
+def seed_states(targets: DataFrame, states: DataFrame, key: str = "table_key") -> DataFrame:
+    """Targets that have no state yet; of several owners the first takes it."""
+    return first_owner(targets, key).where(~F.col("conflict")).drop("conflict").join(states.select(key), key, "left_anti")
+
+
+def health_alerts(samples: DataFrame, job: str, at: str, lag_threshold: int) -> DataFrame:
+    """Alerts of a stream of (status, lag, waiting) samples: a purged log once an incident, which silences the lag; a lag that reaches the threshold; back-pressure that begins."""
+    before = W.partitionBy(job).orderBy(at)
+    purged, lagging, pressed = F.col("status") == "purged", (F.col("status") != "purged") & (F.col("lag") >= lag_threshold), F.col("waiting")
+    begins = lambda c: c & ~F.coalesce(F.lag(c).over(before), F.lit(False))
+    names = F.array_compact(F.array(F.when(begins(purged), F.lit("purged")), F.when(begins(lagging), F.lit("lag")), F.when(begins(pressed), F.lit("back_pressure"))))
+    return samples.withColumn("_names", names).select(job, at, F.explode("_names").alias("alert"))
+
+
+def checkpoint_diagnostics(checkpoints: DataFrame, first: Column, last: Column, now: Column) -> DataFrame:
+    """Age of saved positions and whether their log files lie within the available ones."""
+    return checkpoints.withColumns({"age": F.greatest(now - F.col("saved_at"), F.lit(0)), "available": F.col("file").between(first, last)})
+
+
+def log_range(logs: DataFrame, name: str = "file") -> DataFrame:
+    return logs.agg(F.min(name).alias("first"), F.max(name).alias("last"), F.count("*").alias("n"))
+
+
+def check_load(expected: Column, total: Column, loaded: Column, filtered: Column, unselected: Column) -> Column:
+    """Whether a load took all of its rows."""
+    return (filtered == 0) & (unselected == 0) & (total == loaded) & (loaded == expected)
+
+
+def control(jobs: DataFrame, action: str, now: Column, owner: str | None = None) -> DataFrame:
+    """A change of the desired state, only where the current one allows it; an owner may only change what it leases."""
+    allowed = {"pause": ("running",), "resume": ("paused",), "cancel": ("running", "paused", "queued"), "delete": ("paused", "cancelled", "failed", "done")}[action]
+    to = {"pause": "paused", "resume": "running", "cancel": "cancelled", "delete": "deleted"}[action]
+    may = F.col("state").isin(*allowed)
+    if owner is not None:
+        may = may & (F.col("lease_owner") == owner) & (F.col("lease_until") >= now)
+    return jobs.withColumn("state", F.when(may, to).otherwise(F.col("state")))
+
+
+def expand_targets(operations: list[str], namespaces: list[str], tables: list[str]) -> list[tuple[str, str, str]]:
+    """Every operation on every table of every namespace, each once and in order."""
+    return list(dict.fromkeys((o, n.strip(), t.strip()) for o in operations for n in namespaces for t in tables if n.strip() and t.strip()))

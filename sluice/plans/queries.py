@@ -507,6 +507,109 @@ def commit_signals(spark, sf_dir):
     return ops.commit_signals(f, state(spark, sf_dir).select("table_key", F.col("due").alias("snapshot"), "due"))
 
 
+@query(f"""
+    WITH t AS ({TASKS}), r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'open' END AS status FROM orders)
+    SELECT id FROM r WHERE status = 'done' AND (contains(CAST(id AS VARCHAR), '77') OR EXISTS (SELECT 1 FROM t WHERE t.id = r.id AND contains(CAST(table_key AS VARCHAR), '77')))
+      AND EXISTS (SELECT 1 FROM t WHERE t.id = r.id AND operation = 'F')""")
+def filter_runs(spark, sf_dir):
+    runs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'open' END").alias("status"), F.col("o_orderkey").cast("string").alias("worker"))
+    results = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderkey").alias("task_id"))
+    return ops.filter_runs(runs, results, tasks(spark, sf_dir), status="done", search="77", operation="F").select("id")
+
+
+@query("SELECT task_id, attempt, id FROM (SELECT l_orderkey AS task_id, l_linenumber AS attempt, l_partkey * 100000 + l_suppkey AS id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey * 100000 + l_suppkey DESC) AS r FROM lineitem) WHERE r = 1")
+def latest_results(spark, sf_dir):
+    results = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("attempt"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("id"))
+    return ops.latest_results(results)
+
+
+JOBS = "SELECT c_custkey AS job_id, CASE c_nationkey % 4 WHEN 0 THEN 'latest' WHEN 1 THEN 'initial' WHEN 2 THEN 'snapshot-only' ELSE 'latest-offset' END AS mode, CASE WHEN c_acctbal > 3000 THEN 'DONE' ELSE 'RUNNING' END AS status FROM customer"
+DONE = "SELECT o_custkey AS job_id, bool_and(o_orderstatus = 'F') AS done FROM orders GROUP BY 1"
+
+
+@query(f"SELECT j.job_id, coalesce(mode IN ('latest', 'latest-offset') OR coalesce(done, mode = 'snapshot-only' AND status = 'DONE'), false) AS complete FROM ({JOBS}) j LEFT JOIN ({DONE}) d USING (job_id)")
+def snapshot_complete(spark, sf_dir):
+    done = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(F.bool_and(F.col("o_orderstatus") == "F").alias("done"))
+    return ops.snapshot_complete(_sql(spark, sf_dir, JOBS, "customer"), done).select("job_id", "complete")
+
+
+@query("""
+    WITH f AS (SELECT o_custkey AS table_key, min(o_orderkey) AS id FROM orders GROUP BY 1)
+    SELECT table_key, id FROM f WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = table_key AND c_nationkey < 10)""")
+def seed_states(spark, sf_dir):
+    targets = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("table_key"), F.col("o_orderkey").alias("id"))
+    return ops.seed_states(targets, t(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("table_key")))
+
+
+SAMPLES = "SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'purged' ELSE 'available' END AS status, event_id % 50 AS lag, value > 50 AS waiting FROM events"
+
+
+@query(f"""
+    WITH s AS (SELECT *, status = 'purged' AS p, status <> 'purged' AND lag >= 30 AS l FROM ({SAMPLES})),
+    b AS (SELECT *, p AND NOT coalesce(lag(p) OVER w, false) AS bp, l AND NOT coalesce(lag(l) OVER w, false) AS bl, waiting AND NOT coalesce(lag(waiting) OVER w, false) AS bw FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, 'purged' AS alert FROM b WHERE bp UNION ALL SELECT user_id, event_id, 'lag' FROM b WHERE bl UNION ALL SELECT user_id, event_id, 'back_pressure' FROM b WHERE bw""")
+def health_alerts(spark, sf_dir):
+    return ops.health_alerts(_sql(spark, sf_dir, SAMPLES, "events"), "user_id", "event_id", 30)
+
+
+POSITIONS = "SELECT event_id AS job_id, concat('bin.', lpad(CAST(event_id % 100 AS STRING), 3, '0')) AS file, event_id * 7 % 5000 AS saved_at FROM events"
+
+
+@query(f"SELECT job_id, greatest(4000 - saved_at, 0) AS age, file BETWEEN 'bin.020' AND 'bin.080' AS available FROM ({POSITIONS})")
+def checkpoint_diagnostics(spark, sf_dir):
+    return ops.checkpoint_diagnostics(_sql(spark, sf_dir, POSITIONS, "events"), F.lit("bin.020"), F.lit("bin.080"), F.lit(4000)).select("job_id", "age", "available")
+
+
+@query(f"SELECT min(file) AS first, max(file) AS last, count(*) AS n FROM ({POSITIONS})")
+def log_range(spark, sf_dir):
+    return ops.log_range(_sql(spark, sf_dir, POSITIONS, "events"))
+
+
+@query("""
+    SELECT l_returnflag, count(*) AS total, count_if(l_tax < 0) AS filtered, count_if(l_tax < 0) = 0 AND count(*) = count(l_orderkey) AS complete FROM lineitem GROUP BY 1""")
+def load_counts(spark, sf_dir):
+    g = t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("total"), F.count("l_orderkey").alias("loaded"), F.count_if(F.col("l_tax") < 0).alias("filtered"))
+    return g.select("l_returnflag", "total", "filtered", ops.check_load(F.col("total"), F.col("total"), F.col("loaded"), F.col("filtered"), F.lit(0)).alias("complete"))
+
+
+@query("""
+    WITH a AS (SELECT c_custkey AS table_key, c_nationkey % 2 = 0 AS complete, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS due FROM customer),
+    b AS (SELECT DISTINCT o_custkey + 100 AS table_key, o_custkey % 5 = 0 AS complete, o_custkey + 7 AS due FROM orders)
+    SELECT table_key, coalesce(a.complete, false) OR coalesce(b.complete, false) AS complete, coalesce(a.due, b.due) AS due FROM a FULL JOIN b USING (table_key)""")
+def upsert_state(spark, sf_dir):
+    a = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table_key"), (F.col("c_nationkey") % 2 == 0).alias("complete"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("due"))
+    b = t(spark, sf_dir, "orders").select((F.col("o_custkey") + 100).alias("table_key"), (F.col("o_custkey") % 5 == 0).alias("complete"), (F.col("o_custkey") + 7).alias("due")).distinct()
+    return ops.upsert_state(a, b)
+
+
+@query("SELECT o_custkey AS table_key, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS conflict FROM orders")
+def first_owner(spark, sf_dir):
+    return ops.first_owner(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("table_key"), F.col("o_orderkey").alias("id")))
+
+
+@query("""
+    WITH s AS (SELECT event_type AS role, user_id AS instance, event_id AS seen FROM events)
+    SELECT r.role, 3 AS expected, coalesce(count(DISTINCT CASE WHEN seen >= 900 THEN instance END), 0) AS online
+    FROM (VALUES ('view'), ('click'), ('none')) r(role) LEFT JOIN s USING (role) GROUP BY 1""")
+def runtime_instances(spark, sf_dir):
+    expected = spark.sql("SELECT * FROM VALUES ('view', 3), ('click', 3), ('none', 3) AS e(role, expected)")
+    seen = t(spark, sf_dir, "events").select(F.col("event_type").alias("role"), F.col("user_id").alias("instance"), F.col("event_id").alias("at"))
+    return ops.instances(expected, seen, F.lit(960), 60)
+
+
+@query("SELECT p_partkey, p_size % 16 AS tier, (year(TIMESTAMP '1995-03-04') - 1970) * 12 + 2 AS month, substr(p_name, 1, 4) AS prefix, p_partkey - p_partkey % 10 AS tens FROM part")
+def partition_values(spark, sf_dir):
+    d = F.lit("1995-03-04 00:00:00").cast("timestamp_ntz")
+    df = t(spark, sf_dir, "part")
+    return df.select("p_partkey", (F.col("p_size") % 16).alias("tier"), s.partition_transform("month", d).alias("month"), s.partition_transform("truncate", F.col("p_name"), 4).alias("prefix"), s.partition_transform("truncate_number", F.col("p_partkey"), 10).alias("tens"))
+
+
+@query("SELECT user_id, event_type, last_at FROM (SELECT user_id, event_type, max(ts) AS last_at FROM events GROUP BY 1, 2) ORDER BY last_at DESC, user_id, event_type LIMIT 100")
+def activity_list(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last_at"))
+    return rows.orderBy(F.desc("last_at"), "user_id", "event_type").limit(100)
+
+
 @query()
 def stream_apply(spark, sf_dir):
     """The feed in two files, streamed into a versioned table; compare with reducing and applying it at once."""
