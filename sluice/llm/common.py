@@ -20,12 +20,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
     where that is unset (single-process tests) a temporary folder is used.
     A reliable checkpoint outlives any executor and is removed by Spark's
-    cleaner when no plan refers to it any more.
+    cleaner when no plan refers to it any more. The cleaner finds that out, as
+    it does for shuffle files and broadcasts, when the driver collects its
+    garbage; a step of many small jobs would wait for that with all of them
+    held, so it is asked for here.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
