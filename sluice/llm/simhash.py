@@ -14,6 +14,9 @@ with fewer links than members. A bucket above ``bucket_rows`` fingerprints is
 not gathered: its members are indexed again by variants of the other bits,
 within the bucket, level by level until the bits left bound its size.
 
+Links and nodes have no bound on their number, so their joins are all by sorted
+shuffles: a broadcast would pass through the driver.
+
 Components come from contraction: every node goes to the member of its closed
 neighbourhood with the least draw of that round, links are renamed, and what
 shrinks away is looked up backwards. Nothing but row counts reaches the driver.
@@ -244,7 +247,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.groupBy("a").agg(F.min(draw("b")).alias("m"))
         to = checkpointed(near.select(F.col("a").alias("node"), F.least("m", draw("a"))["n"].alias("to")))
         maps.append(to)
-        moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")).hint("merge"), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")).hint("merge"), "b")
         moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = checkpointed(moved)
     if not maps:
@@ -252,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
     roots = maps[-1].select("node", F.col("to").alias("root"))
     for to in reversed(maps[:-1]):
         later = roots.select(F.col("node").alias("to"), "root")
-        roots = to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        roots = to.join(later.hint("merge"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     return checkpointed(roots)
 
 
@@ -277,8 +280,8 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, words: int, le
     texts = checkpointed(rows.groupBy("whole").agg(F.min(F.struct("id", "fp")).alias("m")).select("whole", F.col("m.id").alias("first"), F.col("m.fp").alias("fp")))
     head = texts.groupBy("fp").agg(F.min(F.struct("first", "whole")).alias("m")).select("fp", F.col("m.whole").alias("head"))
     side = lambda c, out: head.select(F.col("fp").alias(c), F.col("head").alias(out))
-    between = found.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
-    within = texts.join(head, "fp").where("whole <> head").select(F.col("head").alias("x"), F.col("whole").alias("y"))
+    between = found.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("x", "y")
+    within = texts.join(head.hint("merge"), "fp").where("whole <> head").select(F.col("head").alias("x"), F.col("whole").alias("y"))
     edges = checkpointed(between.unionByName(within).distinct())
     linked = edges.select(F.col("x").alias("whole")).union(edges.select("y")).distinct()
 
@@ -292,29 +295,29 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, words: int, le
             ok = [jaccard(np.frombuffer(p.as_py(), np.uint32), np.frombuffer(q.as_py(), np.uint32)) >= least for p, q in zip(b.column("p"), b.column("q"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = texts.join(linked, "whole", "left_semi").select(F.col("first").alias("id"), "whole")
+    wanted = texts.join(linked.hint("merge"), "whole", "left_semi").select(F.col("first").alias("id"), "whole")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # where an id is repeated, any of its texts may stand for it
-    held = own.join(wanted, own["id"].eqNullSafe(wanted["id"])).select("whole", "text")
+    held = own.join(wanted.hint("merge"), own["id"].eqNullSafe(wanted["id"])).select("whole", "text")
     held = checkpointed(held.mapInArrow(sets, "whole string, shingles binary").dropDuplicates(["whole"]))
 
     def holding(some: DataFrame) -> DataFrame:
-        pairs = some.join(held.select(F.col("whole").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("whole").alias("y"), F.col("shingles").alias("q")), "y")
+        pairs = some.join(held.select(F.col("whole").alias("x"), F.col("shingles").alias("p")).hint("merge"), "x").join(held.select(F.col("whole").alias("y"), F.col("shingles").alias("q")).hint("merge"), "y")
         return checkpointed(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "p", "q").mapInArrow(similar, "a string, b string"))
 
     # first one link of each text, to its neighbour with the most; then those links that still part components
     both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     degree = both.groupBy("y").agg(F.count("*").alias("n"))
-    first = both.join(degree, "y").groupBy("x").agg(F.max(F.struct("n", "y")).alias("m")).select(F.least("x", "m.y").alias("x"), F.greatest("x", "m.y").alias("y")).distinct()
+    first = both.join(degree.hint("merge"), "y").groupBy("x").agg(F.max(F.struct("n", "y")).alias("m")).select(F.least("x", "m.y").alias("x"), F.greatest("x", "m.y").alias("y")).distinct()
     held_first = holding(checkpointed(first))
     roots = components(held_first)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).join(first, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left")
+    rest = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).join(first.hint("merge"), ["x", "y"], "left_anti").join(of("x").hint("merge"), "x", "left").join(of("y").hint("merge"), "y", "left")
     rest = rest.where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y").distinct()
     roots = components(held_first.unionByName(holding(rest)))
-    of = texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "first")
+    of = texts.join(roots.hint("merge"), F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "first")
     least_id = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return of.join(least_id, "root").select("whole", "component_id")
+    return of.join(least_id.hint("merge"), "root").select("whole", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct: bool = False, verify: tuple[int, float] | None = None, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,7 +342,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct:
     found = links(nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), bits, bucket_rows)
     if verify:
         of = _verified(rows, docs, found, *verify, id_col, text_col)
-        return rows.join(of, "whole", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return rows.join(of.hint("merge"), "whole", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     roots = components(found)
     first = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = first.groupBy("root").agg(F.min("first").alias("component_id"))
