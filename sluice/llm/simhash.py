@@ -10,7 +10,9 @@ run of equal keys is verified in place.
 A bucket doesn't list its pairs. It gives a spanning forest of the links that
 belong to it (a link belongs to the first key its ends share), found by search
 from each member through those not yet reached; what is linked stays linked,
-with fewer links than members. A bucket above ``bucket_rows`` fingerprints is
+with fewer links than members. Links that are yet to be verified span nothing:
+what the true ones of a forest leave apart is swept again, and there every pair
+of fingerprints of different groups is given. A bucket above ``bucket_rows`` fingerprints is
 not gathered: its members are indexed again by variants of the other bits,
 within the bucket, level by level until the bits left bound its size.
 
@@ -134,11 +136,33 @@ def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _sweep(parts: list[list[int]], differ: int):
-    def pairs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def between(fps: np.ndarray, grp: np.ndarray, bit: int, parts: list[list[int]], differ: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All of the bucket's own links that join different groups, some at a time."""
+    _, of, sizes = np.unique(grp, return_inverse=True, return_counts=True)
+    of = np.argsort(np.argsort(sizes, kind="stable"))[of]  # each row with those of larger groups, so the largest isn't searched
+    order = np.argsort(of, kind="stable")
+    fps, of = fps[order], of[order]
+    held, n = [], 0
+    for i, end in enumerate(np.searchsorted(of, of, "right").tolist()):
+        if end == len(fps):
+            break
+        x = fps[i] ^ fps[end:]
+        near = np.flatnonzero(np.bitwise_count(x) <= differ)
+        near = near[first_key(x[near], parts) == bit] + end
+        held.append((np.full(len(near), order[i]), order[near]))
+        n += len(near)
+        if n >= 1 << 16:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _sweep(parts: list[list[int]], differ: int, across: bool):
+    def pairs(keys: np.ndarray, fps: np.ndarray, grp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[cuts, len(keys)])
-        a, b, near_pairs = [], [], []
+        near_pairs = []
         # runs of a few rows: each row with the t-th after it, for all runs at once
         inside = np.repeat(np.where(sizes <= FEW, cuts + sizes, 0), sizes)
         for t in range(1, int(sizes[sizes <= FEW].max(initial=1))):
@@ -147,45 +171,47 @@ def _sweep(parts: list[list[int]], differ: int):
             near = np.bitwise_count(x) <= differ
             i, x = i[near], x[near]
             i = i[first_key(x, parts) == (keys[i] & 63)]
-            near_pairs += zip(i.tolist(), (i + t).tolist(), strict=True)
-        if near_pairs:
-            i, j = np.array(spanning(near_pairs)).T
-            a.append(fps[i])
-            b.append(fps[j])
+            i = i[grp[i] != grp[i + t]] if across else i
+            near_pairs.append((i, i + t))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*near_pairs, strict=True) if near_pairs else ((), ())))
+        if len(i):
+            yield (i, j) if across else tuple(np.array(spanning(list(zip(i.tolist(), j.tolist(), strict=True)))).T)
         for at, n in zip(cuts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            own = fps[at : at + n]
-            if links := forest(own, int(keys[at] & 63), parts, differ):
+            own, bit = slice(at, at + n), int(keys[at] & 63)
+            if across:
+                for i, j in between(fps[own], grp[own], bit, parts, differ):
+                    yield at + i, at + j
+            elif links := forest(fps[own], bit, parts, differ):
                 i, j = np.array(links).T
-                a.append(own[i])
-                b.append(own[j])
-        none = np.zeros(0, np.uint64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+                yield at + i, at + j
 
-    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def linked(keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in pairs(keys, *columns):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for c in columns for at in (i, j)], names=["a", "b", "x", "y"][: 2 * len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key's rows, in pieces
+        held: list[tuple[np.ndarray, ...]] = []  # the last key's rows, in pieces
         for b in batches:
-            keys, fps = b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            rows = (b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64), *((b.column("grp").to_numpy(),) if across else ()))
+            keys = rows[0]
             if not len(keys):
                 continue
             cut = int(np.searchsorted(keys, keys[-1]))
             if held and (cut or held[-1][0][0] != keys[-1]):
-                held.append((keys[:cut], fps[:cut]))
-                yield batch(*pairs(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                held.append(tuple(x[:cut] for x in rows))
+                yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
             elif cut:
-                yield batch(*pairs(keys[:cut], fps[:cut]))
-            held.append((keys[cut:], fps[cut:]))
+                yield from linked(*(x[:cut] for x in rows))
+            held.append(tuple(x[cut:] for x in rows))
         if held:
-            yield batch(*pairs(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _variants(parts: list[list[int]], whole: bool):
-    """(fp, key) of every segment with each bit struck out; the key ends in that bit's number.
+def _variants(parts: list[list[int]], whole: bool, across: bool):
+    """(fp, key) and, if across groups, grp of every segment with each bit struck out; the key ends in that bit's number.
 
     The outermost level has plain keys; below, the bucket is mixed in, and
     buckets that come to share a key only make more to compare.
@@ -204,16 +230,23 @@ def _variants(parts: list[list[int]], whole: bool):
                     value = (value + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (bucket[a : a + 2048, None] * np.uint64(0xC2B2AE3D27D4EB4F))
                     value ^= value >> np.uint64(29)
                 key = (value << np.uint64(6)) | bits
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps[a : a + 2048], len(bits)).view(np.int64)), pa.array(key.ravel().view(np.int64))], names=["fp", "key"])
+                columns = [np.repeat(fps[a : a + 2048], len(bits)).view(np.int64), key.ravel().view(np.int64)]
+                columns += [np.repeat(b.column("grp").to_numpy()[a : a + 2048], len(bits))] if across else []
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["fp", "key", "grp"][: len(columns)])
 
     return run
 
 
-def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None = None) -> DataFrame:
-    """Links (a, b) that connect what is linked, from distinct (bucket, fp) rows."""
+def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None = None, across: bool = False) -> DataFrame:
+    """Links (a, b) that connect what is linked, from distinct (bucket, fp) rows.
+
+    ``across`` gives every link of different groups, (a, b, x, y), from distinct
+    (bucket, fp, grp) rows; a and b may then be equal, and links come repeatedly.
+    """
+    own_columns = ["fp", "grp"] if across else ["fp"]
     bits = list(range(64)) if bits is None else bits
     parts = segments(bits, differ)
-    keyed = fps.select("bucket", "fp").mapInArrow(_variants(parts, whole=len(bits) == 64), "fp long, key long")
+    keyed = fps.select("bucket", *own_columns).mapInArrow(_variants(parts, len(bits) == 64, across), "fp long, key long" + ", grp long" * across)
     hot = None
     if min(len(p) for p in parts) > 2:
         # few coarse counts first; only where one is high are the keys themselves counted
@@ -224,13 +257,13 @@ def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None
             if hot.isEmpty():
                 hot = None
     plain = keyed if hot is None else keyed.join(hot, "key", "left_anti")
-    found = plain.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_sweep(parts, differ), "a long, b long")
+    found = plain.repartition("key").sortWithinPartitions("key").select("key", *own_columns).mapInArrow(_sweep(parts, differ, across), "a long, b long" + ", x long, y long" * across)
     if hot is not None:
         for part in parts:
             own = hot.where(F.col("key").bitwiseAND(F.lit(63)).isin(part))
             if not own.isEmpty():
-                inner = checkpointed(keyed.join(own, "key").select(F.col("key").alias("bucket"), "fp"))
-                found = found.unionByName(links(inner, differ, bucket_rows, [b for b in bits if b not in part]))
+                inner = checkpointed(keyed.join(own, "key").select(F.col("key").alias("bucket"), *own_columns))
+                found = found.unionByName(links(inner, differ, bucket_rows, [b for b in bits if b not in part], across))
     return found
 
 
@@ -272,8 +305,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(whole, component_id) of every distinct text, from links whose texts are similar enough."""
+def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, bits: int, bucket_rows: int, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(whole, component_id) of every distinct text, from links whose texts are similar enough.
+
+    A forest of the links is verified first. Where one fails, others between the
+    same texts may hold, so then all links of different verified groups are.
+    """
     texts = checkpointed(rows.groupBy("whole").agg(F.min(F.struct("id", "fp")).alias("m")).select("whole", F.col("m.id").alias("first"), F.col("m.fp").alias("fp")))
     head = texts.groupBy("fp").agg(F.min(F.struct("first", "whole")).alias("m")).select("fp", F.col("m.whole").alias("head"))
     side = lambda c, out: head.select(F.col("fp").alias(c), F.col("head").alias(out))
@@ -302,7 +339,17 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, words: int, le
         pairs = some.join(held.select(F.col("whole").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("whole").alias("y"), F.col("shingles").alias("q")), "y")
         return checkpointed(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "p", "q").mapInArrow(similar, "a string, b string"))
 
-    roots = components(holding(edges))
+    true = holding(edges)
+    roots = components(true)
+    if true.count() < edges.count():
+        apart = texts.join(linked, "whole", "left_semi").join(roots, F.col("whole") == F.col("node"), "left")
+        apart = checkpointed(apart.select("whole", "fp", F.xxhash64(F.coalesce("root", "whole")).alias("grp")))
+        more = links(apart.select(F.lit(0).cast("long").alias("bucket"), "fp", "grp").distinct(), bits, bucket_rows, across=True)
+        more = more.select(F.col("a"), F.col("x").alias("p"), F.col("b"), F.col("y").alias("q"))
+        more = more.join(apart.select(F.col("fp").alias("a"), F.col("grp").alias("p"), F.col("whole").alias("x")), ["a", "p"])
+        more = more.join(apart.select(F.col("fp").alias("b"), F.col("grp").alias("q"), F.col("whole").alias("y")), ["b", "q"])
+        late = holding(checkpointed(more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
+        roots = roots if late.isEmpty() else components(true.unionByName(late))
     of = texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "first")
     least_id = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return of.join(least_id, "root").select("whole", "component_id")
@@ -329,7 +376,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct:
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first")))
     found = links(nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), bits, bucket_rows)
     if verify:
-        of = _verified(rows, docs, found, *verify, id_col, text_col)
+        of = _verified(rows, docs, found, bits, bucket_rows, *verify, id_col, text_col)
         return rows.join(of, "whole", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     roots = components(found)
     first = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")

@@ -101,6 +101,35 @@ def test_verified_links(spark, documents):
     assert simhash.jaccard(simhash.shingle_set(a.encode(), 5), simhash.shingle_set(near.encode(), 5)) >= 0.8
 
 
+def test_no_true_link_is_lost_behind_one_that_fails(spark, documents):
+    """Graded near copies, a few and many of a text: forests of the candidates run over pairs that aren't similar."""
+    rng = random.Random(31)
+
+    def changed(text, places):
+        words = text.split()
+        for i in rng.sample(range(len(words)), places):
+            words[i] = prose(rng, 1)
+        return " ".join(words)
+
+    texts = []
+    for many in [6] * 12 + [40] * 2:
+        base = prose(rng, 160)
+        for _ in range(many):
+            texts += [one := changed(base, rng.randint(4, 9)), changed(one, rng.randint(1, 3))]
+    prints = [brute_fingerprint_of_pairs(t) for t in texts]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    rows = list(range(len(texts)))
+    want = groups(rows, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 7 and simhash.jaccard(sets[i], sets[j]) >= 0.8)
+    df = documents(list(enumerate(texts)))
+    for bucket in (50_000, 20):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words=2, bits=7, distinct=True, verify=(5, 0.8), bucket_rows=bucket).collect()}
+        assert [got[i] for i in rows] == want
+
+
+def brute_fingerprint_of_pairs(text):
+    return simhash.fingerprint(text.encode(), 2, True)
+
+
 # --- language
 
 def phrases(text, sample):
