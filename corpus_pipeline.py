@@ -27,18 +27,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of copies and near copies.
+    """Keeps one document of each group of copies and near copies: that with the least id, null last.
+
+    Different texts under one id or null are different documents.
 
     Candidates are SimHash links over distinct word pairs at 7 bits, which
     reach nearly all texts of the similarity asked for; a link holds where the
     sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     """
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs, words=2, bits=7, distinct=True, verify=(5, 0.8))
-    kept = checkpointed(groups.select(F.col("component_id").alias("_kept")).distinct())
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    ids = left.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("d")).first()
-    return left if ids["n"] == ids["d"] else left.dropDuplicates(["doc_id"])
+    kept = checkpointed(simhash.representatives(docs, words=2, bits=7, distinct=True, verify=(5, 0.8)))
+    keyed = docs.withColumn("_whole", simhash.whole("text"))
+    left = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["id"]) & (keyed["_whole"] == kept["whole"]), "left_semi")
+    # a document is there more than once only where copies have its id, too
+    if left.count() > kept.count():
+        left = left.dropDuplicates(["doc_id", "_whole"])
+    return left.select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +51,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it whole; a part of half or more counts as whole."""
-    taken = mixing.mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    """Repeats each document as often as the mix takes it whole; a part of half or more counts as whole.
+
+    Where ids repeat or more than one is null, a document is an id, a text and a source.
+    """
+    row = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    ids = docs.agg(F.count("*").alias("n"), F.countDistinct(row).alias("d")).first()
+    row = row if ids["n"] == ids["d"] else F.concat_ws("|", row, simhash.whole("text"), "source")
+    docs = docs.withColumn("_row", row)
+    taken = mixing.mix_sources(docs, id_col="_row").where("taken > 0").groupBy(F.col("_row").alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     copies = taken.select("_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    mixed = docs.join(copies, docs["_row"] == copies["_id"])
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select(*COLUMNS)
 
 

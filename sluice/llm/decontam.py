@@ -324,7 +324,12 @@ def _search(bench: Bench, cosine: float, enough: float, partly: float, answer: f
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, without those that hold an item."""
-    leaked = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(F.col("_leaked")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, without those that hold an item.
+
+    A text is judged, not an id: others under the same id, or null, stay.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    leaked = find_leaks(texts, benchmark, id_col="key", **options).select(F.col("key").alias("_leaked")).distinct()
+    return docs.join(leaked, key == F.col("_leaked"), "left_anti")

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -64,13 +64,17 @@ def fingerprints(docs: DataFrame, words: int, distinct: bool, id_col: str, text_
         for b in batches:
             texts = b.column("text").cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py(), words, distinct) for t in texts), np.uint64, len(texts))
-            whole = [xxhash.xxh3_128_hexdigest(t.as_py() or b"") for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found.view(np.int64)), pa.array(whole)], names=["id", "fp", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found.view(np.int64)), b.column("whole")], names=["id", "fp", "whole"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), whole(text_col).alias("whole"))
     return rows.mapInArrow(run, "id long, fp long, whole string")
 
 
+def whole(text_col: str) -> Column:
+    """Key of a text; null counts as empty."""
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def segments(bits: list[int], differ: int) -> list[list[int]]:
     """The bits cut into the fewest even segments of which one differs by at most one bit."""
     n = differ // 2 + 1
@@ -306,12 +310,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, bits: int, bucket_rows: int, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(whole, component_id) of every distinct text, from links whose texts are similar enough.
+    """(whole, root, first, component_id) of every distinct text, from links whose texts are similar enough.
 
     A forest of the links is verified first. Where one fails, others between the
     same texts may hold, so then all links of different verified groups are.
     """
-    texts = checkpointed(rows.groupBy("whole").agg(F.min(F.struct("id", "fp")).alias("m")).select("whole", F.col("m.id").alias("first"), F.col("m.fp").alias("fp")))
+    texts = checkpointed(rows.groupBy("whole").agg(F.min("id").alias("first"), F.min("fp").alias("fp")))
     head = texts.groupBy("fp").agg(F.min(F.struct("first", "whole")).alias("m")).select("fp", F.col("m.whole").alias("head"))
     side = lambda c, out: head.select(F.col("fp").alias(c), F.col("head").alias(out))
     between = found.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
@@ -330,9 +334,8 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, bits: int, buc
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     wanted = texts.join(linked, "whole", "left_semi").select(F.col("first").alias("id"), "whole")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # where an id is repeated, any of its texts may stand for it
-    held = own.join(wanted, own["id"].eqNullSafe(wanted["id"])).select("whole", "text")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), whole(text_col).alias("whole"))
+    held = own.join(wanted, own["id"].eqNullSafe(wanted["id"]) & (own["whole"] == wanted["whole"]), "left_semi").select("whole", "text")
     held = checkpointed(held.mapInArrow(sets, "whole string, shingles binary").dropDuplicates(["whole"]))
 
     def holding(some: DataFrame) -> DataFrame:
@@ -352,7 +355,20 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, bits: int, buc
         roots = roots if late.isEmpty() else components(true.unionByName(late))
     of = texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "first")
     least_id = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return of.join(least_id, "root").select("whole", "component_id")
+    return of.join(least_id, "root").select("whole", "root", "first", "component_id")
+
+
+def representatives(docs: DataFrame, *, words: int, bits: int, verify: tuple[int, float], distinct: bool = False, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, whole) of one document for each component: of the least id, null last, then of the least key of its text.
+
+    Components are those of ``near_duplicates``; other texts under the same id
+    (or null) are other documents.
+    """
+    rows = checkpointed(fingerprints(docs, words, distinct, id_col, text_col))
+    found = links(rows.select(F.lit(0).cast("long").alias("bucket"), "fp").distinct(), bits, bucket_rows)
+    of = _verified(rows, docs, found, bits, bucket_rows, *verify, id_col, text_col)
+    best = of.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "whole")).alias("m"))
+    return best.select(F.col("m.first").alias("id"), F.col("m.whole").alias("whole"))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct: bool = False, verify: tuple[int, float] | None = None, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,7 +392,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct:
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first")))
     found = links(nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), bits, bucket_rows)
     if verify:
-        of = _verified(rows, docs, found, bits, bucket_rows, *verify, id_col, text_col)
+        of = _verified(rows, docs, found, bits, bucket_rows, *verify, id_col, text_col).select("whole", "component_id")
         return rows.join(of, "whole", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     roots = components(found)
     first = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")

@@ -1,7 +1,9 @@
 """Every stage against a plain version of its decisions, on a small table with planted cases."""
 
+import hashlib
 import random
 
+from pyspark.sql import functions as F
 from test_texts import brute_fingerprint, prose
 
 import corpus_pipeline as cp
@@ -50,3 +52,27 @@ def test_run_and_odd_tables(spark, documents, sf_dir):
     twice = documents([(1, "kato misu nare", "aa", "s"), (1, "kato misu nare", "aa", "s"), (None, "kato", "aa", None)]).select(*cp.COLUMNS)
     assert cp.near_dedup(spark, twice, sf_dir).count() == 2
     assert cp.mix(spark, twice, sf_dir).count() == 0  # four words are less than half a block
+
+
+def test_documents_without_an_id_of_their_own(spark, documents, sf_dir):
+    """Null and repeated ids: only copies, near copies and leaks go, one row a group stays."""
+    rng = random.Random(22)
+    texts = [prose(rng, 120) for _ in range(12)]
+    words = texts[0].split()
+    near = " ".join([*words[:60], "new", *words[61:]])
+    rows = [(None, t, "aa", "s0") for t in texts[:4]] + [(7, t, "aa", "s0") for t in texts[4:8]] + [(7, texts[4], "aa", "s0"), (3, near, "aa", "s0"), (None, texts[5], "aa", "s0")]
+    docs = documents(rows).select(*cp.COLUMNS)
+    kept = cp.near_dedup(spark, docs, sf_dir)
+    want = sorted([("None", t) for t in texts[1:4]] + [("7", t) for t in texts[4:8]] + [("3", near)])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == want
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    leaked = kept.unionByName(documents([(7, "kato " + item, "aa", "s0"), (None, item + " misu", "aa", "s0")]).select(*cp.COLUMNS))
+    clean = cp.decontaminate(spark, leaked, sf_dir)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in clean.collect()) == want
+    # one row a document: what the mix takes of one under an id says nothing of another
+    ratios = cp.mixing.mix_sources(clean.withColumn("row", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5("text"), "source")), id_col="row").collect()
+    counts = {}
+    for r in cp.mix(spark, clean, sf_dir).collect():
+        key = f"{'null' if r['doc_id'] is None else r['doc_id']}|{hashlib.md5(r['text'].encode()).hexdigest()}|{r['source']}"
+        counts[key] = counts.get(key, 0) + 1
+    assert counts == {r["row"]: n for r in ratios if (n := int(r["taken"] / r["size"] + 0.5))}
