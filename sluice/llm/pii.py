@@ -1,7 +1,7 @@
 """Personal data: surrogates of the same type, format, script and gender.
 
-Entities are found by pattern, near the characters that each must have. An
-entity has a canonical form (the digits of a phone number, an address in lower
+Entities are found by pattern, near the characters that each must have; a
+secret is found at its keyword. An entity has a canonical form (the digits of a phone number, an address in lower
 case), and its surrogate is a keyed permutation of that form, rendered in the
 mention's own layout: all mentions of an entity get the same surrogate,
 whatever their layout, in all documents and runs under the same key.
@@ -45,9 +45,11 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NEAR = 160
 
 MARK = re.compile(r"[@\d]")
+KEYWORD = r"\b(?:token|secret|api[_-]?key|password|passwd|access[_-]?key)\b"
+SECRET = re.compile(KEYWORD + r"""\s*[=:]\s*["']?[A-Za-z0-9_+/-]{12,}""", re.I)
 SHAPE = re.compile(
     rf"""(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
-    |(?i:\b(?:token|secret|api[_-]?key|password|passwd|access[_-]?key)\b)\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9_+/-]{{12,}})
+    |(?i:{KEYWORD})\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9_+/-]{{12,}})
     |(?<![\w.])(?P<ip>(?:{OCTET}\.){{3}}{OCTET})(?!\.?\d)
     |(?<!\w)(?P<iban>[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?!\w)
     |(?<![\w+-])(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![\w-])
@@ -72,11 +74,15 @@ def mentions(text: str | None) -> list[Mention]:
     if not text:
         return []
     found, done, spans = [], 0, []
-    for m in MARK.finditer(text):
-        if spans and m.start() - NEAR <= spans[-1][1]:
-            spans[-1][1] = m.end() + NEAR
+    near = [(m.start() - NEAR, m.end() + NEAR) for m in MARK.finditer(text)]
+    # a secret needs no such character, and its value may be of any length
+    if secrets := [m.span() for m in SECRET.finditer(text)]:
+        near = sorted(near + secrets)
+    for a, b in near:
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
         else:
-            spans.append([max(0, m.start() - NEAR), m.end() + NEAR])
+            spans.append([max(0, a), b])
     for a, b in spans:
         for m in SHAPE.finditer(text, max(a, done), min(b, len(text))):
             kind = m.lastgroup

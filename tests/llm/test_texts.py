@@ -262,6 +262,16 @@ def test_surrogates_keep_type_format_and_coreference(spark, documents):
     assert pii.replace_personal_data(df.limit(0)).count() == 0
 
 
+def test_secrets_without_digits_or_with_a_late_one():
+    far = "x" * 400
+    for value in ("correcthorsebattery", "a" * 300 + "7bcd" + "e" * 300, "q" * 5000):
+        for before, after in (("", ""), ("7 ", " 7"), (far + " ", " " + far), (far + " 42 ", "")):
+            for word in ("password = ", "API_KEY:'", "token" + " " * 300 + "= "):
+                text = f"{before}{word}{value}{after}"
+                assert [(m.kind, text[m.start : m.end]) for m in pii.mentions(text)] == [("secret", value)]
+    assert pii.mentions("the password is correcthorsebattery") == pii.mentions("token = short") == []
+
+
 def test_permutations_are_bijections():
     for kind, forms in (("ssn", [f"{i:04d}" for i in range(10_000)]), ("ip", [f"1.2.{a}.{b}" for a in range(40) for b in range(40)]), ("email", [f"{a}{b}.{n}@m.example.com" for a in "abcxyz" for b in "abc" for n in range(10)]), ("card", [f"411111111{i:04d}" for i in range(3000)])):
         assert len({pii.surrogate(kind, f, b"k") for f in forms}) == len(forms)
