@@ -8,7 +8,10 @@ log2 of the sample's length and over the text's length this estimates the
 cross entropy in bits a letter. The lowest wins.
 
 The automata are dense tables (state x symbol), so that a task parses many
-stretches of text for all languages in step, one array lookup a letter. Texts
+stretches of text for all languages in step, one array lookup a letter. Only the
+``DENSE`` most frequent letters have columns; transitions by other letters, of
+which scripts with thousands have many and each state few, are looked up in one
+sorted array. Texts
 are cut into stretches of ``STRETCH`` letters, each parsed from the root, and
 the phrases of all of a text's stretches are added: whole texts count, and very
 long ones don't hold up the rest.
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 STRETCH = 256
 #: Symbols: between words, a letter that no sample has, past the end. Letters follow.
 GAP, OTHER, END, FIRST = 0, 1, 2, 3
+DENSE = 250  # letters with a column of their own
 CHUNK = 1 << 20  # letters that a task parses at a time
 
 
@@ -49,8 +53,8 @@ def letter_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a string; -1 where there is none."""
+def automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton of a string: by symbols below width (-1 where there is none), and (state, symbol, to) by the others."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in symbols:
         cur, p = len(nxt), last
@@ -74,11 +78,14 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.full((len(nxt), width), -1, np.int64)
+    table, others = np.full((len(nxt), width), -1, np.int64), []
     for s, row in enumerate(nxt):
         for c, t in row.items():
-            table[s, c] = t
-    return table
+            if c < width:
+                table[s, c] = t
+            else:
+                others.append((s, c, t))
+    return table, np.array(others, np.int64).reshape(-1, 3)
 
 
 class Languages:
@@ -87,14 +94,25 @@ class Languages:
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         coded = {n: letter_codes([samples[n]])[0] for n in self.names}
-        seen = np.unique(np.concatenate([c for c in coded.values()])) if coded else np.zeros(0, np.uint32)
-        seen = seen[seen > 0][:250]
+        seen, often = np.unique(np.concatenate([c for c in coded.values()]), return_counts=True) if coded else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        seen, often = seen[seen > 0], often[seen > 0]
         self.alphabet = seen
-        width = FIRST + len(seen)
-        symbol = {0: GAP} | {int(c): FIRST + i for i, c in enumerate(seen)}
+        width = self.width = FIRST + min(DENSE, len(seen))
+        # the most frequent letters first, each part in order of code points
+        self.symbols, dense = np.zeros(len(seen), np.int32), np.zeros(len(seen), bool)
+        dense[np.argsort(-often, kind="stable")[:DENSE]] = True
+        self.symbols[dense] = FIRST + np.arange(dense.sum())
+        self.symbols[~dense] = width + np.arange((~dense).sum())
+        self.rare = rare = len(seen) - int(dense.sum())
+        symbol = {0: GAP} | dict(zip(seen.tolist(), self.symbols.tolist(), strict=True))
         tables, self.roots, self.bits, base = [], [], [], 0
-        for n in self.names:
-            raw = automaton([symbol.get(int(c), OTHER) for c in coded[n]], width)
+        keys, to, self.rare_roots = [], [], np.full((len(self.names), rare), -1, np.int64)
+        for k, n in enumerate(self.names):
+            raw, others = automaton([symbol[int(c)] for c in coded[n]], width)
+            keys.append((others[:, 0] + base) * rare + others[:, 1] - width)
+            to.append((others[:, 2] + base) * width)
+            first = others[others[:, 0] == 0]
+            self.rare_roots[k, first[:, 1] - width] = (first[:, 2] + base) * width
             raw[:, OTHER] = raw[:, END] = -1
             root = raw[0]
             step = np.where(raw >= 0, raw, np.where(root >= 0, root, 0)[None, :])
@@ -107,7 +125,10 @@ class Languages:
             base += len(raw)
         kind = np.int32 if base * width < 1 << 29 else np.int64
         self.table = np.concatenate(tables).astype(kind) if tables else np.zeros(0, np.int32)
-        self.uniform = log2(max(2, width))
+        keys, to = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, to))
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_to = keys[order], to[order]
+        self.uniform = log2(max(2, FIRST + len(seen)))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a letter under each language (texts x languages), and whether a text has letters."""
@@ -122,6 +143,14 @@ class Languages:
             a = b
         return out, some
 
+    def _rare(self, state: np.ndarray, letters: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended and next states by letters without a column, as the table has them for others."""
+        key = state.astype(np.int64) // self.width * self.rare + letters
+        at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+        hit, again = self.rare_keys[at] == key, self.rare_roots[:, letters]
+        ended = np.where(hit, 0, np.where((again >= 0) | (state == roots), 1, 2))
+        return ended, np.where(hit, self.rare_to[at], np.where(again >= 0, again, roots))
+
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, ends = letter_codes(texts)
         starts = np.concatenate([[0], ends[:-1]])
@@ -130,7 +159,7 @@ class Languages:
         some = letters[ends] > letters[starts]
         at = np.searchsorted(self.alphabet, codes)
         known = (at < len(self.alphabet)) & (self.alphabet[np.minimum(at, max(0, len(self.alphabet) - 1))] == codes) if len(self.alphabet) else np.zeros(len(codes), bool)
-        symbols = np.where(codes == 0, GAP, np.where(known, FIRST + at, OTHER)).astype(np.int32)
+        symbols = np.where(codes == 0, GAP, np.where(known, self.symbols[np.minimum(at, max(0, len(self.alphabet) - 1))] if len(self.alphabet) else OTHER, OTHER)).astype(np.int32)
         stretches = -(-lengths // STRETCH)
         first = np.concatenate([[0], np.cumsum(stretches)])
         laid = np.full(int(first[-1]) * STRETCH, END, np.int32)
@@ -138,10 +167,17 @@ class Languages:
         laid = np.ascontiguousarray(laid.reshape(-1, STRETCH).T)
         roots = np.array(self.roots, self.table.dtype)[:, None]
         state, phrases = np.repeat(roots, laid.shape[1], 1), np.zeros((len(self.names), laid.shape[1]), np.int32)
-        for row in laid:
+        rows = (laid >= self.width).any(1) if self.rare else np.zeros(STRETCH, bool)
+        for row, some_rare in zip(laid, rows, strict=True):
+            if some_rare:
+                cols = np.flatnonzero(row >= self.width)
+                ended, to = self._rare(state[:, cols], row[cols] - self.width, roots)
+                row = np.where(row >= self.width, OTHER, row)
             v = self.table.take(state + row)
-            phrases += (v & 3).astype(np.int32, copy=False)
-            state = v >> 2
+            phrases_now, state = (v & 3).astype(np.int32, copy=False), v >> 2
+            if some_rare:
+                phrases_now[:, cols], state[:, cols] = ended, to
+            phrases += phrases_now
         phrases += state != roots
         sums = np.concatenate([np.zeros((len(self.names), 1)), np.cumsum(phrases, 1)], 1)
         count = sums[:, first[1:]] - sums[:, first[:-1]]

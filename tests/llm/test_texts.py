@@ -160,6 +160,30 @@ def test_cross_parsing_against_brute_force():
     assert np.isfinite(m.entropies([long])[0]).all()
 
 
+def test_scripts_of_thousands_of_letters_are_told_apart(monkeypatch):
+    rng = random.Random(16)
+    words = {k: ["".join(chr(lo + min(int(rng.expovariate(1 / 400)), n - 1)) for _ in range(rng.randint(1, 3))) for _ in range(1500)] for k, (lo, n) in {"ja": (0x4E00, 3000), "zh": (0x4E00, 3000), "ko": (0xAC00, 2000), "am": (0x1200, 60)}.items()}
+    write = lambda k, n: "".join(rng.choices(words[k], k=n)) if k != "ko" else " ".join(rng.choices(words[k], k=n))
+    samples = {k: write(k, 4000) for k in words} | {"aa": prose(rng, 2000)}
+    m = language.Languages(samples)
+    assert len(m.alphabet) > 1000
+    texts = [(k, write(k, 60)) for k in words for _ in range(15)] + [("aa", prose(rng, 30))]
+    got, some = m.entropies([t for _, t in texts])
+    assert some.all() and [m.names[i] for i in got.argmin(1)] == [k for k, _ in texts]
+    assert (got.min(1) < m.uniform).all()
+    # columns or not, the parse is that of search
+    short = {k: t[:300] for k, t in samples.items()}
+    tests = [(t[:40] + "zÿ") for _, t in texts] + ["", "ÿÿ", samples["zh"][:20] + "ÿ" + samples["ko"][:20]]
+    for dense in (250, 20, 0):
+        monkeypatch.setattr(language, "DENSE", dense)
+        m = language.Languages(short)
+        got, some = m.entropies(tests)
+        for t, row, ok in zip(tests, got, some, strict=True):
+            codes = "".join(chr(c) if c else " " for c in language.letter_codes([t])[0])
+            want = [phrases(codes, "".join(chr(c) if c else " " for c in language.letter_codes([short[k]])[0])) for k in m.names]
+            assert not ok or np.allclose(row, [p * b / len(codes) for p, b in zip(want, m.bits, strict=True)])
+
+
 def test_language_query_and_held_out_accuracy(spark):
     df = queries.op6_language(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").where("held_out")
     rows = df.collect()
