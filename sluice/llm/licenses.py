@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier, in DataFrame functions.
 
-Paragraphs are the lines of a text. Those with a cue word are turned into
+Paragraphs are the lines of a text with a cue word, each by itself and, since
+notices are often wrapped, along with the words before and behind it up to a
+line without any (as many as the longest notice has). They are turned into
 their distinct 1- to 3-word n-grams, joined with the weights of a sparse
 multinomial logistic regression and summed by paragraph; a softmax gives the
 family's probability. A family below the calibrated probability is `unknown`.
@@ -162,7 +164,10 @@ def _grams(words: Column, n: int) -> Column:
 def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence notices: ``id_col``, paragraph (from 0), family, probability, template, similarity, confirmed.
 
-    A row for each line with a cue word that the model takes for a notice.
+    A row for each line with a cue word that the model takes for a notice, and
+    for each notice that only a line and its neighbours confirm: it stands at
+    its first cue line, in place of what its lines give alone, and once for
+    equal notices in reach of one another.
     ``family`` is `unknown` below the calibrated probability; ``template`` is
     the closest notice of the most probable family, ``similarity`` the share of
     its word pairs (words, if it has one only) that the line has.
@@ -173,31 +178,57 @@ def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6,
     """
     spark = docs.sparkSession
     n = len(model.families)
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
+    reach = max(len(tokens(t)) for _, t in TEMPLATES)  # a line has a word or ends the notice, so so many lines suffice
     cue = "(?i)" + "|".join(re.escape(c) for c in CUES)
-    words = lines.where(F.col("line").rlike(cue)).select("id", "paragraph", F.xxhash64("line").alias("h"), _words(F.col("line")).alias("words"))
-    words = checkpointed(words.dropDuplicates(["id", "paragraph", "h"]))  # few lines have a cue; the texts are read once
+    split = docs.where(F.col(text_col).rlike(cue)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.split(F.col(text_col), "\n").alias("lines"))
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(cue))
+    before = lambda i: F.array_join(F.slice("lines", F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach))), "\n")
+    own = F.transform(at, lambda i: F.struct(i.alias("paragraph"), F.get("lines", i).alias("line"), before(i).alias("before"), F.array_join(F.slice("lines", i + 2, F.lit(reach)), "\n").alias("after")))
+    lines = split.select("id", "h", F.explode(own).alias("l")).select("id", "h", "l.*")
+    blank, closed = "\n[^A-Za-z0-9\n]*\n", lambda c: F.concat(F.lit("\n"), c, F.lit("\n"))
+    lines = lines.withColumn("before", F.element_at(F.split(closed(F.col("before")), blank), -1)).withColumn("after", F.split(closed(F.col("after")), blank)[0])
+    count = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x != ""))
+    lines = lines.select("id", "paragraph", "h", (F.col("paragraph") - count("before")).alias("from"), (F.col("paragraph") + count("after")).alias("to"), _words(F.col("line")).alias("words"), _words(F.col("before")).alias("b"), _words(F.col("after")).alias("a"))
+    lines = checkpointed(lines.dropDuplicates(["id", "paragraph", "h"]))  # few lines have a cue; the texts are read once
+    around = F.concat(F.slice("b", F.greatest(F.lit(1), F.size("b") - reach + 1), F.lit(reach)), "words", F.slice("a", 1, reach))
+    words = lines.select("id", "paragraph", "h", F.lit(False).alias("wide"), "words").unionByName(lines.where("from < to").select("id", "paragraph", "h", F.lit(True).alias("wide"), around.alias("words")))
     weights = spark.createDataFrame([(g, *map(float, model.weights[i])) for i, g in enumerate(model.features) if model.weights[i].any()], "gram string, " + ", ".join(f"w{k} double" for k in range(n)))
-    each = words.select("id", "paragraph", "h", F.explode(F.array_distinct(F.concat(*(_grams(F.col("words"), k) for k in (1, 2, 3))))).alias("gram"))
+    each = words.select("id", "paragraph", "h", "wide", F.explode(F.array_distinct(F.concat(*(_grams(F.col("words"), k) for k in (1, 2, 3))))).alias("gram"))
     # a notice has known n-grams: a line without any falls to the constants, where `none` leads
-    sums = each.join(F.broadcast(weights), "gram").groupBy("id", "paragraph", "h").agg(*(F.sum(f"w{k}").alias(f"s{k}") for k in range(n)))
+    sums = each.join(F.broadcast(weights), "gram").groupBy("id", "paragraph", "h", "wide").agg(*(F.sum(f"w{k}").alias(f"s{k}") for k in range(n)))
     scores = [F.col(f"s{k}") + F.lit(float(model.weights[-1][k])) for k in range(n)]
     top = F.greatest(*scores)
     named = F.greatest(*scores[1:])
     family = F.coalesce(*(F.when(scores[k] == named, F.lit(model.families[k])) for k in range(1, n)))
     probability = F.exp(named - top) / sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
-    found = sums.where(named > scores[0]).select("id", "paragraph", "h", family.alias("likely"), probability.alias("probability"))
+    found = sums.where(named > scores[0]).select("id", "paragraph", "h", "wide", family.alias("likely"), probability.alias("probability"))
 
     templates = []
     for i, (f, t) in enumerate(TEMPLATES):
         own = tokens(t)
         templates.append((f, i, t, sorted({" ".join(own[k : k + 2]) for k in range(len(own) - 1)} or set(own))))
     templates = spark.createDataFrame(templates, "likely string, no int, template string, pairs array<string>")
-    pairs = words.select("id", "paragraph", "h", F.array_distinct(F.concat(_grams(F.col("words"), 1), _grams(F.col("words"), 2))).alias("own"))
-    same = found["id"].eqNullSafe(pairs["id"]) & (found["paragraph"] == pairs["paragraph"]) & (found["h"] == pairs["h"])
-    held = found.join(pairs, same).select(found["id"], found["paragraph"], found["h"], "likely", "probability", "own").join(F.broadcast(templates), "likely")
+    pairs = words.select("id", "paragraph", "h", "wide", F.array_distinct(F.concat(_grams(F.col("words"), 1), _grams(F.col("words"), 2))).alias("own"))
+    same = found["id"].eqNullSafe(pairs["id"]) & (found["paragraph"] == pairs["paragraph"]) & (found["h"] == pairs["h"]) & (found["wide"] == pairs["wide"])
+    held = found.join(pairs, same).select(found["id"], found["paragraph"], found["h"], found["wide"], "likely", "probability", "own").join(F.broadcast(templates), "likely")
     share = F.size(F.array_intersect("own", "pairs")) / F.size("pairs")
     best = F.max(F.struct(share.alias("similarity"), (-F.col("no")).alias("no"), "template")).alias("best")
-    held = held.groupBy("id", "paragraph", "h", "likely", "probability").agg(best)
+    held = held.groupBy("id", "paragraph", "h", "wide", "likely", "probability").agg(best)
     unknown = F.col("probability") < F.lit(model.least)
-    return held.select(F.col("id").alias(id_col), "paragraph", F.when(unknown, F.lit("unknown")).otherwise(F.col("likely")).alias("family"), "probability", F.col("best.template").alias("template"), F.col("best.similarity").alias("similarity"), ((F.col("best.similarity") >= confirm) & ~unknown).alias("confirmed"))
+    held = checkpointed(held.withColumn("confirmed", (F.col("best.similarity") >= confirm) & ~unknown).withColumn("t", F.col("best.no")))
+
+    def without(some: DataFrame, others: DataFrame, *more: Column) -> DataFrame:
+        own = F.col("s.id").eqNullSafe(F.col("o.id")) & (F.col("s.h") == F.col("o.h"))
+        for m in more:
+            own = own & m
+        return some.alias("s").join(others.alias("o"), own, "left_anti")
+
+    alone, same = held.where("NOT wide"), F.col("s.t") == F.col("o.t")
+    wide = held.where("wide AND confirmed").alias("w").join(lines.alias("l"), F.col("w.id").eqNullSafe(F.col("l.id")) & (F.col("w.h") == F.col("l.h")) & (F.col("w.paragraph") == F.col("l.paragraph"))).select("w.*", "from", "to")
+    # a line's neighbours aren't its own notice where one of them is confirmed as that, nor is its own notice theirs
+    wide = checkpointed(without(wide, alone.where("confirmed"), same, F.col("o.paragraph").between(F.col("s.from"), F.col("s.to"))))
+    alone = without(alone, wide, F.col("s.paragraph") == F.col("o.paragraph"), ~F.col("s.confirmed"))
+    first = without(wide, wide, same, F.col("o.paragraph") >= F.col("s.from"), F.col("o.paragraph") < F.col("s.paragraph"))
+    held = alone.unionByName(first.select(*alone.columns))
+    out = held.select(F.col("id").alias(id_col), "paragraph", F.when(unknown, F.lit("unknown")).otherwise(F.col("likely")).alias("family"), "probability", F.col("best.template").alias("template"), F.col("best.similarity").alias("similarity"), "confirmed")
+    return out.distinct()

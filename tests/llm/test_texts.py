@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -252,6 +253,25 @@ def test_licences(spark, documents):
     assert licenses.scan_licences(df.limit(0), licenses.learn(df.limit(0))).count() == 0
 
 
+def test_wrapped_notices_are_read_whole(spark, documents):
+    rng = random.Random(15)
+    rows, want = [], {}
+    for i, (family, text) in enumerate(licenses.TEMPLATES):
+        if len(licenses.tokens(text)) < 16:
+            continue
+        for width in (75, 30, 12):
+            at = 10 * i + {75: 0, 30: 1, 12: 2}[width]
+            rows.append((at, f"{prose(rng, 12)}\n\n{textwrap.fill(text, width)}\n\n{prose(rng, 9)}"))
+            want[at] = family
+    rows += [(9000, "He lost his driver license.\nReleased under the MIT License.\nkato misu"), (9001, textwrap.fill(licenses.TEMPLATES[2][1], 40).replace("\n", "\n\n"))]
+    df = documents(rows)
+    got = {}
+    for r in licenses.scan_licences(df, licenses.learn(df)).collect():
+        got.setdefault(r["doc_id"], []).append((r["family"], r["confirmed"], r["paragraph"]))
+    assert {i: [f for f, ok, _ in got.get(i, []) if ok] for i in want} == {i: [f] for i, f in want.items()}
+    assert got[9000] == [("mit", True, 1)] and not any(ok for _, ok, _ in got.get(9001, []))
+
+
 def test_licence_scan_has_no_python(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     plan = licenses.scan_licences(docs, licenses.learn(docs))._jdf.queryExecution().toString()
