@@ -301,15 +301,17 @@ def _search(bench: Bench, cosine: float, enough: float, partly: float, answer: f
                 key = (ids[d], item.item_id)
                 out[key] = max(out.get(key, new), new)
 
+    overlap = 2 * max(len(item.words) for item in bench.items) + LONG * STEP
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, docs, n, out = [], [], 0, {}
             for x, words in zip(b.column("id").to_pylist(), b.column("words").to_pylist(), strict=True):
                 own = np.frombuffer(words, np.uint16)
-                # a very long text goes in pieces that overlap by more than any item
+                # a very long text goes in pieces; a window and what is looked at around it lie whole in one of them
                 for a in range(0, max(1, len(own)), BATCH):
                     ids.append(x)
-                    docs.append(own[a : a + BATCH + 4096])
+                    docs.append(own[a : a + BATCH + overlap])
                     n += len(docs[-1])
                     if n >= BATCH:
                         verify(ids, docs, out)

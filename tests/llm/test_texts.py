@@ -5,6 +5,7 @@ import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -353,6 +354,23 @@ def test_common_subsequence():
         assert decontam.common_subsequence(a, b) == lcs(a, b)
 
 
+def test_long_items_across_a_cut_of_long_texts():
+    item = [f"w{i}" for i in range(20_000)]
+    bench = decontam.Bench([(1, " ".join(item), None)], 8)
+    bench.weigh(np.ones(len(bench.vocabulary), np.int64), 10)
+    omega = np.random.default_rng(1).standard_normal((len(bench.vocabulary), 24)).astype(np.float32)
+    wide, out = np.zeros((decontam.OUT + 1, 24), np.float32), np.zeros((decontam.OUT + 1, 24), np.float32)
+    wide[: len(omega)] = omega
+    bench.sketch(decontam._passages(np.array(bench.items[0].words, np.uint16)), wide, out)
+    bench.learn(out[: len(omega)], omega, 16)
+    before = decontam.BATCH - 10_000  # half of the item on either side of the cut
+    words = np.array([decontam.OUT] * before + bench.items[0].words + [decontam.OUT] * 1000, np.uint16)
+    batch = pa.RecordBatch.from_arrays([pa.array([5], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["id", "words"])
+    bench.pieces = {k: (q[::500], of[::500]) for k, (q, of) in bench.pieces.items()}  # a few candidates will do
+    found = [r for b in decontam._search(bench, 0.9, 0.7, 0.5, 2.0, "doc_id")([batch]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["overlap"]) for r in found] == [(5, 1, 1.0)]
+
+
 def test_leaks_are_found_and_clean_documents_are_not(spark, documents):
     rng = random.Random(12)
     items = [(i, prose(rng, rng.randint(14, 59))) for i in range(30)] + [(90, None), (91, ""), (92, "!!")]
