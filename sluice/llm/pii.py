@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 from typing import NamedTuple
 
@@ -43,6 +44,7 @@ ALPHABETS = [("0", "9"), ("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я"), ("
 NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NEAR = 160
+ATTEMPTS = 64
 
 MARK = re.compile(r"[@\d]")
 KEYWORD = r"\b(?:token|secret|api[_-]?key|password|passwd|access[_-]?key)\b"
@@ -135,12 +137,25 @@ def next_int(bytes_: Iterator[int]) -> int:
     return int.from_bytes(bytes(next(bytes_) for _ in range(8)), "big")
 
 
+@cache
+def _alphabet(c: str) -> tuple[int, int] | None:
+    """The listed alphabet of a character, else the letters that stand next to a letter in its block of 128."""
+    for a, z in ALPHABETS:
+        if a <= c <= z:
+            return ord(a), ord(z) - ord(a) + 1
+    if not c.isalpha():
+        return None
+    lo = hi = ord(c)
+    while lo % 128 and chr(lo - 1).isalpha():
+        lo -= 1
+    while (hi + 1) % 128 and chr(hi + 1).isalpha():
+        hi += 1
+    return lo, hi - lo + 1
+
+
 def _places(text: str) -> list[tuple[int, int] | None]:
     """(first of its alphabet, alphabet's size) of every character that is to change."""
-    out: list[tuple[int, int] | None] = []
-    for c in text:
-        out.append(next(((ord(a), ord(z) - ord(a) + 1) for a, z in ALPHABETS if a <= c <= z), None))
-    return out
+    return [_alphabet(c) for c in text]
 
 
 def scramble(text: str, key: bytes, tweak: str) -> str:
@@ -218,7 +233,8 @@ def redrawn(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """(kind, form, attempt) of the entities whose first surrogate won't do: it is the entity, or another's.
 
     Of entities that share a surrogate the first in order keeps it. Entities
-    drawn again must also differ from all surrogates kept before.
+    drawn again must also differ from all surrogates kept before. Raises where
+    ``ATTEMPTS`` draws leave an entity without one.
     """
     def drawn(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +251,10 @@ def redrawn(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
         first = held.groupBy("kind", "new").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         shared = held.join(first, ["kind", "new"], "left").where((F.col("form") == F.col("new")) | (F.col("first.form") != F.col("form"))).select("kind", "form")
         again = checkpointed(shared)
-        if again.isEmpty() or attempt == 64:
+        if again.isEmpty():
             break
+        if attempt == ATTEMPTS:  # written out, these would be themselves or another's
+            raise ValueError(f"{again.count()} entities have no surrogate of their own")
         attempt += 1
         rest = held.join(again, ["kind", "form"], "left_anti")
         held = checkpointed(rest.unionByName(again.mapInArrow(drawn(attempt), schema).withColumn("attempt", F.lit(attempt))))

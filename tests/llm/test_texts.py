@@ -322,6 +322,19 @@ def test_permutations_are_bijections():
         assert len({pii.surrogate(kind, f, b"k") for f in forms}) == len(forms)
 
 
+def test_names_in_unlisted_scripts_change():
+    for name in ("Արամ Պետրոսյան", "გიორგი ბერიძე", "อานนท", "Ěščř"):
+        new = [pii.surrogate("name", f"m|{name}", b"k", n).partition("|")[2] for n in range(3)]
+        assert name not in new and all([c.isalpha() for c in x] == [c.isalpha() for c in name] for x in new)
+
+
+def test_what_no_draw_settles_is_not_written(spark, documents, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda kind, form, key, attempt=0: form)
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    with pytest.raises(Exception, match="no surrogate of their own"):
+        pii.redrawn(documents([(1, "123-45-6789")]), b"k")
+
+
 def test_shared_surrogates_are_drawn_again(spark, documents, monkeypatch):
     """With a permutation that isn't one, entities that collide still end up apart."""
     real = pii.surrogate
