@@ -29,19 +29,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies and near copies: that with the least id, null last.
 
-    Different texts under one id or null are different documents.
+    Different texts under one id or null are different documents; null and
+    empty texts are copies of one another. Rows equal in id and text are one
+    document, of which any row stays.
 
-    Candidates are SimHash links over distinct word pairs at 7 bits, which
-    reach nearly all texts of the similarity asked for; a link holds where the
-    sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Candidates are SimHash links at 5 bits of one of three fingerprints, over
+    distinct words and word pairs; a link holds where the sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more.
     """
-    docs = docs.select(*COLUMNS)
-    kept = checkpointed(simhash.representatives(docs, words=2, bits=7, distinct=True, verify=(5, 0.8)))
-    keyed = docs.withColumn("_whole", simhash.whole("text"))
-    left = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["id"]) & (keyed["_whole"] == kept["whole"]), "left_semi")
-    # a document is there more than once only where copies have its id, too
-    if left.count() > kept.count():
-        left = left.dropDuplicates(["doc_id", "_whole"])
+    kept = checkpointed(simhash.representatives(docs.select(*COLUMNS)))
+    keyed = docs.select(*COLUMNS, simhash.whole("text").alias("_whole"))
+
+    def rows(some: DataFrame) -> DataFrame:
+        return keyed.join(some, keyed["doc_id"].eqNullSafe(some["id"]) & (keyed["_whole"] == some["whole"]), "left_semi")
+
+    left = rows(kept.where("n = 1"))
+    if not (more := kept.where("n > 1")).isEmpty():
+        left = left.unionByName(rows(more).dropDuplicates(["doc_id", "_whole"]))
     return left.select(*COLUMNS)
 
 

@@ -17,13 +17,14 @@ not gathered: its members are indexed again by variants of the other bits,
 within the bucket, level by level until the bits left bound its size.
 
 Components come from contraction: every node goes to the member of its closed
-neighbourhood with the least draw of that round, links are renamed, and what
-shrinks away is looked up backwards. Nothing but row counts reaches the driver.
+neighbourhood with the least draw of that round, and links and the roots known
+so far are renamed. Nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +39,68 @@ SEED = 42
 FEW = 32
 
 
-def fingerprint(text: bytes | None, words: int, distinct: bool = False) -> int:
-    """Bits set in over half of the XXH64 values of the text's word shingles; 0 without words."""
-    tokens = text.lower().split() if text else []  # of bytes: ASCII letters and ASCII white space only
-    if not tokens:
-        return 0
+class Sketch(NamedTuple):
+    """What a fingerprint is made of: shingles of ``words`` words, each once if ``distinct``. Other numbers of ``mix`` give independent bits."""
+
+    words: int
+    distinct: bool = False
+    mix: int = 0
+
+
+#: Near copies: two fingerprints of the distinct words and one of the distinct word pairs.
+NEAR = (Sketch(1, True), Sketch(1, True, 1), Sketch(2, True))
+
+
+def _hashes(tokens: list[bytes], words: int, distinct: bool) -> np.ndarray:
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     if len(tokens) <= words:
         starts, stops = [0], [len(joined)]
     else:
         starts, stops = [0, *(ends[:-words] + 1).tolist()], ends[words - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts))
-    hashes = np.unique(hashes) if distinct else hashes
-    n = len(hashes)
-    for a in range(0, n, 65536):
-        h = hashes[a : a + 65536]
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    shingles = [joined[s:e] for s, e in zip(starts, stops, strict=True)]
+    shingles = set(shingles) if distinct else shingles
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x, SEED) for x in shingles), np.uint64, len(shingles))
+
 
+def _mixed(h: np.ndarray, mix: int) -> np.ndarray:
+    if not mix:
+        return h
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * mix)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(text: bytes | None, sketches: Sequence[Sketch]) -> list[int]:
+    """Bits set in over half of the XXH64 values of the text's word shingles, for each sketch; 0 without words."""
+    tokens = text.lower().split() if text else []  # of bytes: ASCII letters and ASCII white space only
+    if not tokens:
+        return [0] * len(sketches)
+    hashed, out = {}, []
+    for words, distinct, mix in sketches:
+        if (words, distinct) not in hashed:
+            hashed[words, distinct] = _hashes(tokens, words, distinct)
+        hashes, ones = _mixed(hashed[words, distinct], mix), np.zeros(64, np.int64)
+        for a in range(0, len(hashes), 65536):
+            h = hashes[a : a + 65536]
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, sketches: Sequence[Sketch], id_col: str, text_col: str) -> DataFrame:
+    """(id, whole, fps) of every row; an id of any type stays what it is."""
+    n = len(sketches)
 
-def fingerprints(docs: DataFrame, words: int, distinct: bool, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").cast(pa.large_binary())
-            found = np.fromiter((fingerprint(t.as_py(), words, distinct) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found.view(np.int64)), b.column("whole")], names=["id", "fp", "whole"])
+            found = np.array([fingerprint(t.as_py(), sketches) for t in b.column("text").cast(pa.large_binary())], np.uint64).reshape(-1)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * n, pa.int32()), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("whole"), listed], names=["id", "whole", "fps"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), whole(text_col).alias("whole"))
-    return rows.mapInArrow(run, "id long, fp long, whole string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), whole(text_col).alias("whole"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, whole string, fps array<long>")
 
 
 def whole(text_col: str) -> Column:
@@ -273,24 +306,23 @@ def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); one root for each component."""
-    edges, maps = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
+    edges = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    of, turn = edges.select(F.col("a").alias("node"), F.col("b").alias("root")), 0
     while not edges.isEmpty():
-        turn = len(maps)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        # new draws every other turn: what a star's middle went to, its points go to the turn after
+        draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn // 2)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         near = both.groupBy("a").agg(F.min(draw("b")).alias("m"))
         to = checkpointed(near.select(F.col("a").alias("node"), F.least("m", draw("a"))["n"].alias("to")))
-        maps.append(to)
+        if turn:
+            on = to.select(F.col("node").alias("root"), "to")
+            of = checkpointed(of.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        else:
+            of = to.select("node", F.col("to").alias("root"))
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = checkpointed(moved)
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = maps[-1].select("node", F.col("to").alias("root"))
-    for to in reversed(maps[:-1]):
-        later = roots.select(F.col("node").alias("to"), "root")
-        roots = to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return checkpointed(roots)
+        edges = checkpointed(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        turn += 1
+    return of
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -309,18 +341,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, bits: int, bucket_rows: int, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(whole, root, first, component_id) of every distinct text, from links whose texts are similar enough.
+def _verified(rows: DataFrame, docs: DataFrame, bits: int, bucket_rows: int, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(whole, root, id, n) of every distinct text, from links whose texts are similar enough: its least id, null last, and the rows that have it.
 
     A forest of the links is verified first. Where one fails, others between the
     same texts may hold, so then all links of different verified groups are.
     """
-    texts = checkpointed(rows.groupBy("whole").agg(F.min("id").alias("first"), F.min("fp").alias("fp")))
-    head = texts.groupBy("fp").agg(F.min(F.struct("first", "whole")).alias("m")).select("fp", F.col("m.whole").alias("head"))
+    ids = rows.groupBy("whole", "id").agg(F.count("*").alias("n"), F.min("fps").alias("fps"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("m")
+    texts = checkpointed(ids.groupBy("whole").agg(best, F.min("fps").alias("fps")).select("whole", F.col("m.id").alias("id"), F.col("m.n").alias("n"), "fps"))
+    prints = checkpointed(texts.select("whole", F.explode(F.array_distinct("fps")).alias("fp")))
+    head = checkpointed(prints.groupBy("fp").agg(F.min("whole").alias("head")))
+    found = links(head.select(F.lit(0).cast("long").alias("bucket"), "fp"), bits, bucket_rows)
+    pair = (F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     side = lambda c, out: head.select(F.col("fp").alias(c), F.col("head").alias(out))
     between = found.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
-    within = texts.join(head, "fp").where("whole <> head").select(F.col("head").alias("x"), F.col("whole").alias("y"))
-    edges = checkpointed(between.unionByName(within).distinct())
+    within = prints.join(head, "fp").where("whole <> head").select(F.col("head").alias("x"), F.col("whole").alias("y"))
+    edges = checkpointed(between.unionByName(within).where("x <> y").select(*pair).distinct())
     linked = edges.select(F.col("x").alias("whole")).union(edges.select("y")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,67 +370,74 @@ def _verified(rows: DataFrame, docs: DataFrame, found: DataFrame, bits: int, buc
             ok = [jaccard(np.frombuffer(p.as_py(), np.uint32), np.frombuffer(q.as_py(), np.uint32)) >= least for p, q in zip(b.column("p"), b.column("q"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = texts.join(linked, "whole", "left_semi").select(F.col("first").alias("id"), "whole")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), whole(text_col).alias("whole"))
+    # each linked text once, from the row that stands for it
+    wanted = texts.join(linked, "whole", "left_semi").select("id", "whole")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), whole(text_col).alias("whole"))
     held = own.join(wanted, own["id"].eqNullSafe(wanted["id"]) & (own["whole"] == wanted["whole"]), "left_semi").select("whole", "text")
     held = checkpointed(held.mapInArrow(sets, "whole string, shingles binary").dropDuplicates(["whole"]))
 
     def holding(some: DataFrame) -> DataFrame:
+        """Of links (x, y) between texts and (a, b) between what stands for them, (a, b) of the similar."""
         pairs = some.join(held.select(F.col("whole").alias("x"), F.col("shingles").alias("p")), "x").join(held.select(F.col("whole").alias("y"), F.col("shingles").alias("q")), "y")
-        return checkpointed(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "p", "q").mapInArrow(similar, "a string, b string"))
+        return checkpointed(pairs.select("a", "b", "p", "q").mapInArrow(similar, "a string, b string"))
 
-    true = holding(edges)
+    true = holding(edges.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b")))
     roots = components(true)
+    root = F.coalesce("root", "whole").alias("root")
     if true.count() < edges.count():
-        apart = texts.join(linked, "whole", "left_semi").join(roots, F.col("whole") == F.col("node"), "left")
-        apart = checkpointed(apart.select("whole", "fp", F.xxhash64(F.coalesce("root", "whole")).alias("grp")))
+        apart = checkpointed(prints.join(roots, F.col("whole") == F.col("node"), "left").select("whole", "fp", root, F.xxhash64(root).alias("grp")))
         more = links(apart.select(F.lit(0).cast("long").alias("bucket"), "fp", "grp").distinct(), bits, bucket_rows, across=True)
-        more = more.select(F.col("a"), F.col("x").alias("p"), F.col("b"), F.col("y").alias("q"))
-        more = more.join(apart.select(F.col("fp").alias("a"), F.col("grp").alias("p"), F.col("whole").alias("x")), ["a", "p"])
-        more = more.join(apart.select(F.col("fp").alias("b"), F.col("grp").alias("q"), F.col("whole").alias("y")), ["b", "q"])
-        late = holding(checkpointed(more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
-        roots = roots if late.isEmpty() else components(true.unionByName(late))
-    of = texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "first")
-    least_id = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return of.join(least_id, "root").select("whole", "root", "first", "component_id")
-
+        end = lambda fp, grp, out, by: apart.select(F.col("fp").alias(fp), F.col("grp").alias(grp), F.col("whole").alias(out), F.col("root").alias(by))
+        more = more.select("a", F.col("x").alias("p"), "b", F.col("y").alias("q")).join(end("a", "p", "x", "rx"), ["a", "p"]).join(end("b", "q", "y", "ry"), ["b", "q"])
+        ordered = F.col("x") < F.col("y")
+        either = lambda one, other: F.when(ordered, F.col(one)).otherwise(F.col(other))
+        more = more.select(*pair, either("rx", "ry").alias("a"), either("ry", "rx").alias("b")).distinct()
+        late = components(holding(checkpointed(more.join(edges, ["x", "y"], "left_anti"))))
+        on = late.select(F.col("node").alias("root"), F.col("root").alias("later"))
+        roots = checkpointed(texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", root).join(on, "root", "left").select(F.col("whole").alias("node"), F.coalesce("later", "root").alias("root")))
+    return texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", root, "id", "n")
+
+
+def representatives(docs: DataFrame, *, sketches: Sequence[Sketch] = NEAR, bits: int = 5, words: int = 5, least: float = 0.8, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, whole, n) of one document for each group of near copies: of the least id, null last, then of the least key of its text; n rows are that document.
+
+    Texts whose sets of ``words``-word shingles have a Jaccard similarity of
+    ``least`` or more are linked, where fingerprints of one of the ``sketches``
+    differ in ``bits`` or fewer bits. Different texts under the same id (or
+    null) are different documents. Null and empty texts are one text. An empty
+    table gives an empty result.
+    """
+    rows = checkpointed(fingerprints(docs, sketches, id_col, text_col))
+    of = _verified(rows, docs, bits, bucket_rows, words, least, id_col, text_col)
+    best = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "whole", "n")).alias("m"))
+    return best.select("m.id", "m.whole", "m.n")
 
-def representatives(docs: DataFrame, *, words: int, bits: int, verify: tuple[int, float], distinct: bool = False, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, whole) of one document for each component: of the least id, null last, then of the least key of its text.
 
-    Components are those of ``near_duplicates``; other texts under the same id
-    (or null) are other documents.
-    """
-    rows = checkpointed(fingerprints(docs, words, distinct, id_col, text_col))
-    found = links(rows.select(F.lit(0).cast("long").alias("bucket"), "fp").distinct(), bits, bucket_rows)
-    of = _verified(rows, docs, found, bits, bucket_rows, *verify, id_col, text_col)
-    best = of.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "whole")).alias("m"))
-    return best.select(F.col("m.first").alias("id"), F.col("m.whole").alias("whole"))
+def near_copies(docs: DataFrame, *, sketches: Sequence[Sketch] = NEAR, bits: int = 5, words: int = 5, least: float = 0.8, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and component_id, the smallest id of its group of near copies, of every row; groups and odd cases as for ``representatives``."""
+    rows = checkpointed(fingerprints(docs, sketches, id_col, text_col))
+    of = _verified(rows, docs, bits, bucket_rows, words, least, id_col, text_col).select("whole", "root", "id")
+    of = of.select("whole", "root").join(of.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("whole", "component_id")
+    return rows.join(of, "whole").select(F.col("id").alias(id_col), "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, distinct: bool = False, verify: tuple[int, float] | None = None, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 4, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and component of every document.
 
     Texts are lower-cased (A-Z), cut at ASCII white space, and hashed by
-    ``words``-word shingles, repeats included unless ``distinct``. Fingerprints link at ``bits`` or
+    ``words``-word shingles, repeats included. Fingerprints link at ``bits`` or
     fewer differing bits. Returns ``id_col``, fingerprint (16 hex digits) and
     component_id, the smallest id reachable, one row for each input row.
 
-    With ``verify`` = (n, s) equal fingerprints and links join texts only where
-    the sets of their n-word shingles have a Jaccard similarity of s or more.
-
     Null and empty texts have fingerprint 0 and are linked like any other; a
     text with fewer words is one shingle. Equal fingerprints are one node, so
     copies cost nothing beyond their own rows. Rows with a null id get the
-    smallest other id of their component, or null. Empty tables give empty
-    results. Other columns are not read.
+    smallest other id of their component, or null. Ids may have any type that
+    has an order. Empty tables give empty results. Other columns are not read.
     """
-    rows = checkpointed(fingerprints(docs, words, distinct, id_col, text_col))
+    rows = checkpointed(fingerprints(docs, [Sketch(words)], id_col, text_col).select("id", F.col("fps")[0].alias("fp")))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first")))
     found = links(nodes.select(F.lit(0).cast("long").alias("bucket"), "fp"), bits, bucket_rows)
-    if verify:
-        of = _verified(rows, docs, found, bits, bucket_rows, *verify, id_col, text_col).select("whole", "component_id")
-        return rows.join(of, "whole", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     roots = components(found)
     first = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = first.groupBy("root").agg(F.min("first").alias("component_id"))
