@@ -11,8 +11,8 @@ A bucket doesn't list its pairs. It gives a spanning forest of the links that
 belong to it (a link belongs to the first key its ends share), found by search
 from each member through those not yet reached; what is linked stays linked,
 with fewer links than members. Links that are yet to be verified span nothing:
-what the true ones of a forest leave apart is swept again, and there every pair
-of fingerprints of different groups is given. A bucket above ``bucket_rows`` fingerprints is
+where one of a forest fails, texts of the groups that it leaves apart meet once
+more under their rarest shingles, and what is near there in bits is verified. A bucket above ``bucket_rows`` fingerprints is
 not gathered: its members are indexed again by variants of the other bits,
 within the bucket, level by level until the bits left bound its size.
 
@@ -23,11 +23,12 @@ so far are renamed. Nothing but row counts reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,9 +104,10 @@ def fingerprints(docs: DataFrame, sketches: Sequence[Sketch], id_col: str, text_
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, whole string, fps array<long>")
 
 
-def whole(text_col: str) -> Column:
+def whole(text: str | Column) -> Column:
     """Key of a text; null counts as empty."""
-    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.col(text) if isinstance(text, str) else text
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def segments(bits: list[int], differ: int) -> list[list[int]]:
@@ -173,33 +175,50 @@ def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def between(fps: np.ndarray, grp: np.ndarray, bit: int, parts: list[list[int]], differ: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All of the bucket's own links that join different groups, some at a time."""
-    _, of, sizes = np.unique(grp, return_inverse=True, return_counts=True)
-    of = np.argsort(np.argsort(sizes, kind="stable"))[of]  # each row with those of larger groups, so the largest isn't searched
-    order = np.argsort(of, kind="stable")
-    fps, of = fps[order], of[order]
-    held, n = [], 0
-    for i, end in enumerate(np.searchsorted(of, of, "right").tolist()):
-        if end == len(fps):
-            break
-        x = fps[i] ^ fps[end:]
-        near = np.flatnonzero(np.bitwise_count(x) <= differ)
-        near = near[first_key(x[near], parts) == bit] + end
-        held.append((np.full(len(near), order[i]), order[near]))
-        n += len(near)
-        if n >= 1 << 16:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, n = [], 0
-    if n:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-
-def _sweep(parts: list[list[int]], differ: int, across: bool):
-    def pairs(keys: np.ndarray, fps: np.ndarray, grp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, sorted by key, in batches that end where a key ends."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        keys = b.column("key").to_numpy()
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or held[-1].column("key")[0].as_py() != keys[-1]):
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+        elif cut:
+            yield b.slice(0, cut)
+        held.append(b.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def run_pairs(keys: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one key for which ok(i, j), some at a time; in runs of over ``FEW`` rows each row with all behind it."""
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[cuts, len(keys)])
+    inside = np.repeat(np.where(sizes <= FEW, cuts + sizes, 0), sizes)
+    for t in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+        i = np.flatnonzero(np.arange(t, len(keys)) < inside[:-t])
+        i = i[ok(i, i + t)]
+        if len(i):
+            yield i, i + t
+    for at, n in zip(cuts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        held = []
+        for i in range(at, at + n - 1):
+            j = np.arange(i + 1, at + n)
+            j = j[ok(np.full(len(j), i), j)]
+            held.append((np.full(len(j), i), j))
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(i):
+            yield i, j
+
+
+def _sweep(parts: list[list[int]], differ: int):
+    def linked(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[cuts, len(keys)])
-        near_pairs = []
+        pairs = []
         # runs of a few rows: each row with the t-th after it, for all runs at once
         inside = np.repeat(np.where(sizes <= FEW, cuts + sizes, 0), sizes)
         for t in range(1, int(sizes[sizes <= FEW].max(initial=1))):
@@ -208,47 +227,24 @@ def _sweep(parts: list[list[int]], differ: int, across: bool):
             near = np.bitwise_count(x) <= differ
             i, x = i[near], x[near]
             i = i[first_key(x, parts) == (keys[i] & 63)]
-            i = i[grp[i] != grp[i + t]] if across else i
-            near_pairs.append((i, i + t))
-        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*near_pairs, strict=True) if near_pairs else ((), ())))
-        if len(i):
-            yield (i, j) if across else tuple(np.array(spanning(list(zip(i.tolist(), j.tolist(), strict=True)))).T)
+            pairs += zip(i.tolist(), (i + t).tolist(), strict=True)
+        if pairs:
+            yield tuple(np.array(spanning(pairs)).T)
         for at, n in zip(cuts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            own, bit = slice(at, at + n), int(keys[at] & 63)
-            if across:
-                for i, j in between(fps[own], grp[own], bit, parts, differ):
-                    yield at + i, at + j
-            elif links := forest(fps[own], bit, parts, differ):
-                i, j = np.array(links).T
-                yield at + i, at + j
-
-    def linked(keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j in pairs(keys, *columns):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at].view(np.int64)) for c in columns for at in (i, j)], names=["a", "b", "x", "y"][: 2 * len(columns)])
+            if pairs := forest(fps[at : at + n], int(keys[at] & 63), parts, differ):
+                yield tuple(at + np.array(pairs).T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # the last key's rows, in pieces
-        for b in batches:
-            rows = (b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64), *((b.column("grp").to_numpy(),) if across else ()))
-            keys = rows[0]
-            if not len(keys):
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if held and (cut or held[-1][0][0] != keys[-1]):
-                held.append(tuple(x[:cut] for x in rows))
-                yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = []
-            elif cut:
-                yield from linked(*(x[:cut] for x in rows))
-            held.append(tuple(x[cut:] for x in rows))
-        if held:
-            yield from linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for b in whole_runs(batches):
+            fps = b.column("fp").to_numpy().view(np.uint64)
+            for i, j in linked(b.column("key").to_numpy(), fps):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[at].view(np.int64)) for at in (i, j)], names=["a", "b"])
 
     return run
 
 
-def _variants(parts: list[list[int]], whole: bool, across: bool):
-    """(fp, key) and, if across groups, grp of every segment with each bit struck out; the key ends in that bit's number.
+def _variants(parts: list[list[int]], outermost: bool):
+    """(fp, key) of every segment with each bit struck out; the key ends in that bit's number.
 
     The outermost level has plain keys; below, the bucket is mixed in, and
     buckets that come to share a key only make more to compare.
@@ -261,29 +257,21 @@ def _variants(parts: list[list[int]], whole: bool, across: bool):
         for b in batches:
             fps, bucket = b.column("fp").to_numpy().view(np.uint64), b.column("bucket").to_numpy().view(np.uint64)
             for a in range(0, len(fps), 2048):
-                fp = fps[a : a + 2048, None]
-                value = (fp & masks) >> lows
-                if not whole:
+                value = (fps[a : a + 2048, None] & masks) >> lows
+                if not outermost:
                     value = (value + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (bucket[a : a + 2048, None] * np.uint64(0xC2B2AE3D27D4EB4F))
                     value ^= value >> np.uint64(29)
                 key = (value << np.uint64(6)) | bits
-                columns = [np.repeat(fps[a : a + 2048], len(bits)).view(np.int64), key.ravel().view(np.int64)]
-                columns += [np.repeat(b.column("grp").to_numpy()[a : a + 2048], len(bits))] if across else []
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["fp", "key", "grp"][: len(columns)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps[a : a + 2048], len(bits)).view(np.int64)), pa.array(key.ravel().view(np.int64))], names=["fp", "key"])
 
     return run
 
 
-def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None = None, across: bool = False) -> DataFrame:
-    """Links (a, b) that connect what is linked, from distinct (bucket, fp) rows.
-
-    ``across`` gives every link of different groups, (a, b, x, y), from distinct
-    (bucket, fp, grp) rows; a and b may then be equal, and links come repeatedly.
-    """
-    own_columns = ["fp", "grp"] if across else ["fp"]
+def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None = None) -> DataFrame:
+    """Links (a, b) that connect what is linked, from distinct (bucket, fp) rows."""
     bits = list(range(64)) if bits is None else bits
     parts = segments(bits, differ)
-    keyed = fps.select("bucket", *own_columns).mapInArrow(_variants(parts, len(bits) == 64, across), "fp long, key long" + ", grp long" * across)
+    keyed = fps.select("bucket", "fp").mapInArrow(_variants(parts, len(bits) == 64), "fp long, key long")
     hot = None
     if min(len(p) for p in parts) > 2:
         # few coarse counts first; only where one is high are the keys themselves counted
@@ -294,13 +282,13 @@ def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None
             if hot.isEmpty():
                 hot = None
     plain = keyed if hot is None else keyed.join(hot, "key", "left_anti")
-    found = plain.repartition("key").sortWithinPartitions("key").select("key", *own_columns).mapInArrow(_sweep(parts, differ, across), "a long, b long" + ", x long, y long" * across)
+    found = plain.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_sweep(parts, differ), "a long, b long")
     if hot is not None:
         for part in parts:
             own = hot.where(F.col("key").bitwiseAND(F.lit(63)).isin(part))
             if not own.isEmpty():
-                inner = checkpointed(keyed.join(own, "key").select(F.col("key").alias("bucket"), *own_columns))
-                found = found.unionByName(links(inner, differ, bucket_rows, [b for b in bits if b not in part], across))
+                inner = checkpointed(keyed.join(own, "key").select(F.col("key").alias("bucket"), "fp"))
+                found = found.unionByName(links(inner, differ, bucket_rows, [b for b in bits if b not in part]))
     return found
 
 
@@ -326,17 +314,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """Sorted 32-bit hashes of the distinct word shingles, letters and spaces as for fingerprints."""
+    """Sorted 32-bit hashes of the distinct word shingles, letters and spaces as for fingerprints; a text without words has one, the empty."""
     tokens = text.lower().split() if text else []
-    if not tokens:
-        return np.zeros(0, np.uint32)
     shingles = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))}
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, SEED) for x in shingles), np.uint32, len(shingles)))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) and not len(b):
-        return 1.0
     same = len(np.intersect1d(a, b, assume_unique=True))
     return same / (len(a) + len(b) - same)
 
@@ -345,7 +329,8 @@ def _verified(rows: DataFrame, docs: DataFrame, bits: int, bucket_rows: int, wor
     """(whole, root, id, n) of every distinct text, from links whose texts are similar enough: its least id, null last, and the rows that have it.
 
     A forest of the links is verified first. Where one fails, others between the
-    same texts may hold, so then all links of different verified groups are.
+    same groups may hold: for all texts of these groups the links that a shared
+    rare shingle leaves possible are verified then.
     """
     ids = rows.groupBy("whole", "id").agg(F.count("*").alias("n"), F.min("fps").alias("fps"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("m")
@@ -383,19 +368,112 @@ def _verified(rows: DataFrame, docs: DataFrame, bits: int, bucket_rows: int, wor
 
     true = holding(edges.select("x", "y", F.col("x").alias("a"), F.col("y").alias("b")))
     roots = components(true)
-    root = F.coalesce("root", "whole").alias("root")
-    if true.count() < edges.count():
-        apart = checkpointed(prints.join(roots, F.col("whole") == F.col("node"), "left").select("whole", "fp", root, F.xxhash64(root).alias("grp")))
-        more = links(apart.select(F.lit(0).cast("long").alias("bucket"), "fp", "grp").distinct(), bits, bucket_rows, across=True)
-        end = lambda fp, grp, out, by: apart.select(F.col("fp").alias(fp), F.col("grp").alias(grp), F.col("whole").alias(out), F.col("root").alias(by))
-        more = more.select("a", F.col("x").alias("p"), "b", F.col("y").alias("q")).join(end("a", "p", "x", "rx"), ["a", "p"]).join(end("b", "q", "y", "ry"), ["b", "q"])
-        ordered = F.col("x") < F.col("y")
-        either = lambda one, other: F.when(ordered, F.col(one)).otherwise(F.col(other))
-        more = more.select(*pair, either("rx", "ry").alias("a"), either("ry", "rx").alias("b")).distinct()
-        late = components(holding(checkpointed(more.join(edges, ["x", "y"], "left_anti"))))
-        on = late.select(F.col("node").alias("root"), F.col("root").alias("later"))
-        roots = checkpointed(texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", root).join(on, "root", "left").select(F.col("whole").alias("node"), F.coalesce("later", "root").alias("root")))
-    return texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", root, "id", "n")
+    of = texts.join(roots, F.col("whole") == F.col("node"), "left").select("whole", F.coalesce("root", "whole").alias("root"), "id", "n", "fps")
+    if true.count() == edges.count():
+        return of.drop("fps")
+    of = checkpointed(of)
+    end = lambda c: of.select(F.col("whole").alias(c), F.col("root").alias(f"r{c}"))
+    failed = edges.join(end("x"), "x").join(end("y"), "y").where("rx <> ry")
+    touched = checkpointed(failed.select(F.col("rx").alias("root")).union(failed.select("ry")).distinct())
+    apart = checkpointed(held.join(of, "whole").join(touched, "root", "left_semi").select("whole", F.xxhash64("root").alias("grp"), "fps", "shingles"))
+    pairs = shared_prefixes(apart, bits, least, bucket_rows).join(end("x"), "x").join(end("y"), "y")
+    late = components(holding(checkpointed(pairs.where("rx <> ry").select("x", "y", F.col("rx").alias("a"), F.col("ry").alias("b")).distinct())))
+    on = late.select(F.col("node").alias("root"), F.col("root").alias("later"))
+    return of.join(on, "root", "left").select("whole", F.coalesce("later", "root").alias("root"), "id", "n")
+
+
+def _counted(apart: DataFrame, cells: int = 1 << 18, piece: int = 1 << 12) -> np.ndarray:
+    """Texts with each shingle, by the low bits of its hash: a table of fixed size, added up piece by piece."""
+    schema = "piece int, salt int, counts binary"
+
+    def rows(pieces: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], names=["piece", "salt", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros(cells, np.int64), 0
+        for b in batches:
+            for x in b.column("shingles").to_pylist():
+                counts += 0 if not x else np.bincount(np.frombuffer(x, np.uint32) % cells, minlength=cells)
+                n += 1
+        if n:
+            yield rows({k: counts[k * piece : (k + 1) * piece] for k in range(cells // piece)}, n % 16)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+        if sums:
+            yield rows(sums, 0)
+
+    out = np.zeros(cells, np.int64)
+    parts = apart.select("shingles").mapInArrow(run, schema).repartition("piece", "salt").mapInArrow(total, schema)
+    for r in parts.repartition("piece").mapInArrow(total, schema).collect():
+        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def shared_prefixes(apart: DataFrame, bits: int, least: float, bucket_rows: int) -> DataFrame:
+    """(x, y) of texts of different groups that may be similar, x < y, some repeatedly, from (whole, grp, fps, shingles).
+
+    Shingles stand in one order, the rare first. Sets with a Jaccard similarity
+    of ``least`` share one of the first ``size - ceil(least * size) + 1`` of
+    either, and behind the first that they share there is room for the rest
+    that they must share. So texts meet under these shingles alone, and only
+    pairs come out that have the room, fingerprints within ``bits`` and
+    different groups. A shingle with more than ``bucket_rows`` texts is dealt
+    out to pairs of parts of them.
+    """
+    sent = apart.sparkSession.sparkContext.broadcast(_counted(apart).astype(np.uint32))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = sent.value
+        for b in batches:
+            of, at, sizes, found = [], [], [], []
+            for i, x in enumerate(b.column("shingles").to_pylist()):
+                own = np.frombuffer(x, np.uint32)
+                n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                first = own[np.lexsort((own, count[own % len(count)]))][:n]
+                of.append(np.full(len(first), i))
+                at.append(np.arange(len(first)))
+                sizes.append(np.full(len(first), len(own)))
+                found.append(first.astype(np.int64))
+            if of:
+                rows = pa.array(np.concatenate(of))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(b.column(c).take(rows) for c in ("whole", "grp", "fps")), pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(at), pa.int32()), pa.array(np.zeros(len(rows), np.int32)), pa.array(np.ones(len(rows), bool))], names=names)
+
+    names = ["key", "whole", "grp", "fps", "size", "at", "part", "same"]
+    schema = "key long, whole string, grp long, fps array<long>, size int, at int, part int, same boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_runs(batches):
+            grp, size, at, part, same = (b.column(c).to_numpy(zero_copy_only=False) for c in names[2:3] + names[4:])
+            fps = b.column("fps").flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1)
+
+            def ok(i: np.ndarray, j: np.ndarray, grp=grp, size=size, at=at, part=part, same=same, fps=fps) -> np.ndarray:
+                out = (grp[i] != grp[j]) & (same[i] | (part[i] != part[j]))
+                room = np.minimum(size[i] - at[i], size[j] - at[j])
+                out &= room >= least / (1 + least) * (size[i] + size[j]) - 1e-6
+                at_ = np.flatnonzero(out)
+                out[at_] = (np.bitwise_count(fps[i[at_]] ^ fps[j[at_]]) <= bits).any(1)
+                return out
+
+            for i, j in run_pairs(b.column("key").to_numpy(), ok):
+                x, y = b.column("whole").take(pa.array(i)), b.column("whole").take(pa.array(j))
+                less = pc.less(x, y)
+                yield pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x)], names=["x", "y"])
+
+    rows = apart.mapInArrow(keys, schema)
+    full = rows.groupBy("key").count().where(F.col("count") > bucket_rows)
+    full = checkpointed(full.select(F.col("key").alias("_full"), F.ceil(F.col("count") / bucket_rows).cast("int").alias("_parts")))
+    if not full.isEmpty():
+        own = F.pmod(F.xxhash64("whole"), F.col("_parts")).cast("int")
+        dealt = rows.join(full, F.col("key") == F.col("_full")).withColumn("part", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        # the key of a pair of parts; keys that come to be equal only make more to compare
+        key = F.xxhash64("key", F.least("part", "_other"), F.greatest("part", "_other"))
+        dealt = dealt.withColumns({"key": key, "same": F.col("part") == F.col("_other")}).select(*names)
+        rows = rows.join(full, F.col("key") == F.col("_full"), "left_anti").unionByName(dealt)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "x string, y string")
 
 
 def representatives(docs: DataFrame, *, sketches: Sequence[Sketch] = NEAR, bits: int = 5, words: int = 5, least: float = 0.8, bucket_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
