@@ -35,18 +35,33 @@ def apportion(df: DataFrame, group: list[str], tie: str, votes: str, seats: str,
     seats; then hand out the highest next quotients, or take back the lowest
     last ones, until the group's ``seats`` are met. No row gets more than
     ``most``; ties go to the smaller ``tie``.
+
+    With N rows and ``short`` seats to hand out a row's share of ``short + N``
+    and two more is all that the method can give it, unless others stop at
+    ``most``: so that many quotients a row are compared, some ``short + 3 N``
+    in all. Where a row comes to the end of its list, lists four times as long
+    are tried.
     """
     over = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
     whole = F.sum(votes).over(over)
     first = F.least(F.col(most), F.floor(F.coalesce(F.col(votes) * F.col(seats) / F.when(whole > 0, whole), F.lit(0.0)) + 0.5)).cast("long")
-    df = df.withColumn("_first", first).withColumn("_short", F.col(seats) - F.sum("_first").over(over))
+    by = list(dict.fromkeys([*group, tie]))
+    df = df.withColumn("_first", first).withColumns({"_short": F.col(seats) - F.sum("_first").over(over), "_share": F.col(votes) / F.when(whole > 0, whole), "_rows": F.count("*").over(over)})
     missing, extra = F.col("_short") > 0, F.col("_short") < 0
-    steps = F.when(missing, F.least(F.col("_short"), F.col(most) - F.col("_first"))).when(extra, F.least(-F.col("_short"), F.col("_first"))).otherwise(F.lit(0))
-    tries = df.where((steps > 0) & (F.col(votes) > 0)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("_j"))
-    quotient = F.when(missing, F.col(votes) / (2 * (F.col("_first") + F.col("_j")) + 1)).otherwise(-F.col(votes) / (2 * (F.col("_first") - F.col("_j")) - 1))
-    tries = tries.withColumn("_rank", F.row_number().over(over.orderBy(quotient.desc(), tie, "_j")))
-    changed = tries.where(F.col("_rank") <= F.abs("_short")).groupBy(*dict.fromkeys([*group, tie])).agg(F.sum(F.signum("_short")).cast("long").alias("_change"))
-    return df.join(changed, list(dict.fromkeys([*group, tie])), "left").withColumn(out, F.col("_first") + F.coalesce("_change", F.lit(0))).drop("_first", "_short", "_change")
+    could = F.when(missing, F.least(F.col("_short"), F.col(most) - F.col("_first"))).when(extra, F.least(-F.col("_short"), F.col("_first"))).otherwise(F.lit(0))
+    length = 1
+    while True:
+        listed = F.least(could, (F.floor(F.col("_share") * (F.abs("_short") + F.col("_rows"))) + 2) * length)
+        tries = df.where((could > 0) & (F.col(votes) > 0)).select("*", could.alias("_could"), listed.alias("_listed"))
+        tries = tries.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_listed") - 1)).alias("_j"))
+        quotient = F.when(missing, F.col(votes) / (2 * (F.col("_first") + F.col("_j")) + 1)).otherwise(-F.col(votes) / (2 * (F.col("_first") - F.col("_j")) - 1))
+        tries = tries.withColumn("_rank", F.row_number().over(over.orderBy(quotient.desc(), tie, "_j")))
+        taken = tries.where(F.col("_rank") <= F.abs("_short")).groupBy(*by).agg(F.sum(F.signum("_short")).cast("long").alias("_change"), F.first("_listed").alias("_listed"), F.first("_could").alias("_could"))
+        taken = checkpointed(taken)
+        if taken.where((F.abs("_change") >= F.col("_listed")) & (F.col("_listed") < F.col("_could"))).isEmpty():
+            break
+        length *= 4
+    return df.join(taken.select(*by, "_change"), by, "left").withColumn(out, F.col("_first") + F.coalesce("_change", F.lit(0))).drop("_first", "_short", "_share", "_rows", "_change")
 
 
 def targets(sources: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -79,14 +94,17 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
     (words, repeats counted), one row for each input row.
 
     A null source is a source of its own, last in order. Repeated rows are
-    separate documents. Texts without words are kept with taken 0. Where all
+    separate documents; a row's place is drawn from its id and its text, so
+    that neither an id nor a text that many rows have fills a shard. Texts without words are kept with taken 0. Where all
     sizes are 0, every target is 0. An empty table gives an empty result.
     Other columns, whatever their names, are not read.
     """
     shards = max(1, -(-docs.count() // rows_per_shard))
     source, key = F.col(source_col), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    sized = docs.select(F.col(id_col).alias("id"), source.cast("string").alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size"))
-    sized = checkpointed(sized.withColumn("draw", seeded(seed, F.coalesce(F.col("id").cast("string"), F.lit("null")))).withColumn("shard", F.pmod("draw", F.lit(shards))))
+    text = F.col(text_col).cast("string")
+    draw = seeded(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
+    sized = docs.select(F.col(id_col).alias("id"), source.cast("string").alias("source"), key.alias("key"), word_count(text).alias("size"), draw.alias("draw"))
+    sized = checkpointed(sized.withColumn("shard", F.pmod("draw", F.lit(shards))))
 
     cells = checkpointed(sized.groupBy("key", "source", "shard").agg(F.sum("size").alias("cell_size")))
     by_source = targets(cells.groupBy("key", "source").agg(F.sum("cell_size").alias("source_size")), list(weights), share, most)

@@ -91,7 +91,7 @@ ORACLES: dict[str, str] = {
     "op9_mixing": r"""
         WITH d AS (
           SELECT doc_id AS id, source, coalesce('s' || source, 'n') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                 CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS draw,
+                 CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))), 1, 8) AS BIGINT) AS draw,
                  greatest(1, CAST(ceil((SELECT count(*) FROM documents) / 50000) AS BIGINT)) AS shards FROM documents),
         z AS (SELECT *, draw % shards AS shard FROM d),
         s1 AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY ALL),
