@@ -9,7 +9,7 @@ highest bound, and ends when that bound is below the k-th best score so far.
 The first shard is searched first, and its k-th scores are where the searches
 of all other shards start from.
 
-Queries are a stated set, taken in blocks of bounded size against all shards.
+Queries are a stated set, broadcast in blocks of bounded bytes to all shards.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,17 +120,22 @@ def _build(leaf: int):
     return run
 
 
-def _search(queries: list[tuple[int, list[int]]], k: int, floors: dict[int, tuple[int, int]]):
+def _search(sent: Broadcast, k: int):
+    """Searches of trees for the broadcast queries, by width: ids, vectors, and of each the floor (score, -id) or None."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for width, packed in zip(b.column("width").to_pylist(), b.column("tree").to_pylist(), strict=True):
+                ids, vectors, floors = sent.value.get(width, ((), (), {}))
+                if not len(ids):
+                    continue
                 with np.load(io.BytesIO(packed)) as z:
                     tree = dict(z)
-                found = search(tree, [(i, np.array(v, dtype=np.int64)) for i, v in queries if len(v) == width], k, floors)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+                for a in range(0, len(ids), 2048):  # the bounds of so many queries for a tree's boxes are held at once
+                    found = search(tree, list(zip(ids[a : a + 2048].tolist(), vectors[a : a + 2048], strict=True)), k, floors)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
 
     return run
 
@@ -139,16 +146,18 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: int = 8192, leaf: int = 64, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: int = 8192, leaf: int = 64, block_bytes: int = 32 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k highest inner products of every query with all vectors but those of its own id.
 
     Components are ``floor(1024 x)`` integers and scores are exact. Returns
     query_id, rank (from 1), vec_id, score; ties go to the smaller id. Only
-    vectors as long as the query count for it.
+    vectors as long as the query count for it. Queries go to the tasks in
+    blocks of ``block_bytes``, each with one pass over the trees.
 
     Rows with a null id, a null vector, or null or non-finite components take
     no part, as queries or candidates. Repeated rows count each; rows that
-    repeat the query's own id are not its candidates. An empty table, or no
+    repeat the query's own id are not its candidates, and of several vectors
+    under a query's id the least in order is asked for. An empty table, or no
     queries, gives an empty result. Other columns are not read.
     """
     def clean(df: DataFrame) -> DataFrame:
@@ -156,7 +165,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: in
         return v.where("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("width", F.size("v"))
 
     spark = vectors.sparkSession
-    points, asked = checkpointed(clean(vectors)), checkpointed(clean(queries).dropDuplicates(["vec_id"]))
+    points, asked = checkpointed(clean(vectors)), checkpointed(clean(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("width", F.size("v")))
     widths = {r["width"]: r["n"] for r in points.groupBy("width").agg(F.count("*").alias("n")).collect()}
     shards = F.lit(1)
     for width, n in widths.items():
@@ -164,20 +173,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: in
     # equal rows of one id are told apart by their place, so that no id can fill a shard of its own
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), shards).cast("int"))
     trees = checkpointed(dealt.groupBy("width", "shard").applyInArrow(_build(leaf), "shard int, width int, tree binary"))
-    total = asked.count()
-    parts, found = max(1, -(-total // block)), None
-    for part in range(parts if total else 0):
-        own = [(r["vec_id"], list(r["v"])) for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).collect()]
-        schema = "query_id long, vec_id long, score long"
-        seeds = trees.where("shard = 0").mapInArrow(_search(own, k, {}), schema).collect()
-        by_query: dict[int, list[tuple[int, int]]] = {}
-        for r in seeds:
-            by_query.setdefault(r["query_id"], []).append((r["score"], -r["vec_id"]))
-        floors = {q: min(x) for q, x in by_query.items() if len(x) >= k}
-        rest = trees.where("shard > 0").mapInArrow(_search(own, k, floors), schema)
-        both = spark.createDataFrame(seeds, schema).unionByName(rest)
+    total = asked.agg(F.sum(8 * (F.col("width") + 1)).alias("n")).first()["n"] or 0
+    parts, found, schema = -(-total // block_bytes), None, "query_id long, vec_id long, score long"
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toArrow()
+        block = {}
+        for width in sorted(set(own.column("width").to_pylist())):
+            t = own.filter(pc.equal(own.column("width"), width))
+            vectors_ = t.column("v").combine_chunks()
+            block[width] = (t.column("vec_id").to_numpy(), vectors_.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, width))
+        sent = spark.sparkContext.broadcast({w: (*x, {}) for w, x in block.items()})
+        seeds = checkpointed(trees.where("shard = 0").mapInArrow(_search(sent, k), schema))
+        kth = seeds.groupBy("query_id").agg(F.min(F.struct("score", (-F.col("vec_id")).alias("n"))).alias("m"), F.count("*").alias("found")).where(F.col("found") >= k).select("query_id", "m.*").toArrow()
+        floors = dict(zip(kth.column("query_id").to_pylist(), zip(kth.column("score").to_pylist(), kth.column("n").to_pylist(), strict=True), strict=True))
+        sent = spark.sparkContext.broadcast({w: (*x, floors) for w, x in block.items()})
+        both = seeds.unionByName(trees.where("shard > 0").mapInArrow(_search(sent, k), schema))
         found = both if found is None else found.unionByName(both)
     if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        found = spark.createDataFrame([], schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

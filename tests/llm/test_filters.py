@@ -70,15 +70,35 @@ def test_weights_move_rows_only_where_they_change(spark, documents):
     df = documents([(i, "x") for i in range(2000)])
     old, new = sharding.topology(8), [s._replace(weight=2.0) if s.shard == 3 else s for s in sharding.topology(8)]
     at = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard_documents(df, tree=old, grown_tree=new).collect()}
-    assert all(a == b or b == 3 for a, b in at.values())
+    region, rack = lambda x: x // 8, lambda x: x // 4
+    for a, b in at.values():  # at every level what moves goes into the subtree of the shard that grew
+        assert a == b or (region(b) == region(3) if region(a) != region(b) else rack(b) == rack(3) if rack(a) != rack(b) else b == 3)
     share = sum(b == 3 for _, b in at.values()) / 2000
     assert abs(share - 2 / 9) < 0.04
     gone = [s._replace(weight=0.0) if s.shard == 3 else s for s in old]
     at = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard_documents(df, tree=old, grown_tree=gone).collect()}
-    assert all(a == b or a == 3 for a, b in at.values()) and all(b != 3 for _, b in at.values())
+    for a, b in at.values():
+        assert b != 3 and (a == b or (region(a) == region(3) if region(a) != region(b) else rack(a) == rack(3) if rack(a) != rack(b) else a == 3))
+    two = sharding.topology(16)
+    at = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard_documents(df, tree=two, grown_tree=[s._replace(weight=3.0) if s.shard == 9 else s for s in two]).collect()}
+    assert all(a == b or b // 8 == 1 for a, b in at.values()) and any(a // 8 != b // 8 for a, b in at.values())  # in the other region nothing moves
+
+
+def test_rows_that_repeat_very_often_are_counted_out(spark, documents):
+    df = documents([(1, "same")] * 130 + [(None, "x")] * 40 + [(i, "x") for i in range(50)])
+    rows = sharding.shard_documents(df, shards=2, rows_per_bucket=7).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 220 and all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 def test_written_shards_hold_every_row(spark, documents, tmp_path):
+    odd = spark.createDataFrame([(None, None, 1, "a"), (None, None, 1, "a"), (3, "", 2, None)], "doc_id long, text string, region int, shard string")
+    sharding.write_shards(odd, str(tmp_path / "odd"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect())) and {"_region", "rack", "_shard"} < set(back.columns)
+    sharding.write_shards(odd.limit(0), str(tmp_path / "none"), shards=4)
     df = documents([(i, f"t{i}") for i in range(200)])
     sharding.write_shards(df, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -151,7 +171,7 @@ def test_top_k_against_brute_force(spark):
     vectors += [(i, [1.0] * 6) for i in range(1000, 1400)]  # a very common vector, with ties
     vectors += [(2000, [0.0] * 6), (2001, None), (2002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 6), (2003, [float("inf")] * 6), (None, [1.0] * 6), (2200, [1.0, 2.0]), (2201, [3.0, -1.0]), (2300, []), (5, [9.0] * 6), (5, [9.0] * 6)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, width int, shard int")
-    got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=10, shard_rows=128, leaf=8, block=5)
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=10, shard_rows=128, leaf=8, block_bytes=300)
     assert sorted(tuple(r) for r in got.collect()) == brute_top(vectors, 10)
     few = df.where("vec_id IN (0, 1, 2)")
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
