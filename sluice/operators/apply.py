@@ -79,16 +79,19 @@ def write_snapshot(mode: str, target: DataFrame, rows: DataFrame, keys: list[str
 def with_metadata(rows: DataFrame, existing: DataFrame, keys: list[str], *, loaded_at: Column, event_time: Column | None, created_from: str | None = None) -> DataFrame:
     """Add created_at, updated_at and etl_loaded_at.
 
-    created_at is the mapped source column, else what the target has, else the
-    event's time; updated_at the event's time for changes, and what the target
-    has for snapshots (``event_time`` None).
+    created_at is the mapped source column, null or not; without one it is what
+    the row brings, else what the target has for the key, else null. updated_at
+    is the event's time where there is one, else what the target has, else what
+    the row brings (``event_time`` is None for snapshots). A null key matches a
+    null key.
     """
-    old = existing.select(*keys, F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"))
-    joined = rows.join(old, keys, "left")
-    now = event_time if event_time is not None else F.lit(None).cast("timestamp_ntz")
-    created = F.coalesce(F.col(created_from) if created_from else F.lit(None).cast("timestamp_ntz"), F.col("_created"), now)
-    updated = event_time if event_time is not None else F.col("_updated")
-    return joined.withColumns({"created_at": created, "updated_at": updated, "etl_loaded_at": loaded_at}).drop("_created", "_updated")
+    own = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("timestamp_ntz")
+    old = existing.select(*(F.col(k).alias(f"_old_{k}") for k in keys), F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"), F.lit(True).alias("_there"))
+    joined = rows.join(old, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys)), "left")
+    created = F.col(created_from) if created_from else F.coalesce(own("created_at"), F.col("_created"))
+    kept = F.when(F.col("_there"), F.col("_updated")).otherwise(own("updated_at"))
+    updated = F.coalesce(event_time, kept) if event_time is not None else kept
+    return joined.withColumns({"created_at": created, "updated_at": updated, "etl_loaded_at": loaded_at}).drop("_created", "_updated", "_there", *(f"_old_{k}" for k in keys))
 
 
 def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:

@@ -41,6 +41,31 @@ def delete_keys(feed: DataFrame, keys: list[str], order: str = "pos") -> DataFra
     return touches(feed, keys, order).where("touch = 'D'").groupBy(*keys).agg(F.max(order).alias("last_pos"), F.count("*").alias("images"))
 
 
+def delete_images(feed: DataFrame, keys: list[str], image: Column, order: str = "pos") -> DataFrame:
+    """Deleted keys with the images that each had when it was deleted or replaced, in order and the last one."""
+    gone = touches(feed.withColumn("_image", image), keys, order).where("touch = 'D'")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_image").alias("i")))), lambda x: x["i"])
+    return gone.groupBy(*keys).agg(listed.alias("images")).withColumn("last_image", F.element_at("images", -1))
+
+
+def ddl_epochs(feed: DataFrame, ddl: DataFrame, table: str = "table_name", order: str = "pos") -> DataFrame:
+    """Add ``epoch``, the DDL statements of the table before each change: a barrier, between which changes may be reduced together.
+
+    Only the statements are put in order; changes meet the few of their table.
+    """
+    own = W.partitionBy(table).orderBy(order)
+    since = ddl.select(table, F.col(order).alias("_from"), F.lead(order).over(own).alias("_to"), F.row_number().over(own).alias("_epoch"))
+    since = since.withColumnRenamed(table, "_table")
+    during = (F.col(table) == F.col("_table")) & (F.col(order) > F.col("_from")) & (F.col("_to").isNull() | (F.col(order) <= F.col("_to")))
+    return feed.join(since, during, "left").withColumn("epoch", F.coalesce("_epoch", F.lit(0))).drop("_table", "_from", "_to", "_epoch")
+
+
+def reduce_tables(events: DataFrame, keys: list[str], table: str = "table_name", order: str = "pos") -> DataFrame:
+    """Corrections of many tables reduced at once: (table, key) stands for the key. DDL among them is an error when rows are read."""
+    ddl = F.raise_error(F.concat(F.lit("corrections can't have DDL: "), F.col(table).cast("string"))).cast("string")
+    return live_rows(events.withColumn("op", F.when(F.col("op") == "DDL", ddl).otherwise(F.col("op"))), [table, *keys], order)
+
+
 def require_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Fails, when rows are read, on a null key; a missing column fails at once."""
     if missing := [k for k in keys if k not in df.columns]:

@@ -25,7 +25,7 @@ def workload(files: DataFrame, by: list[str], path: str = "path") -> DataFrame:
 
 
 def bin_pack(files: DataFrame, group: list[str], target: int = 128 << 20, smallest: int = 64 << 20, largest: float = 1.8, inputs: int = 10) -> DataFrame:
-    """Files to be rewritten together: those of unfit size or with deletes, in order of size, first fit within a group.
+    """Files to be rewritten together: those of unfit size or with deletes, in order of size, each into the open bin or, if it is full, a new one, within a group.
 
     Adds ``bin``. A bin with fewer than ``inputs`` files and no deletes is left
     out. ``files`` has path, bytes and deletes. Each partition's sorted files
@@ -48,7 +48,7 @@ def expired(versions: DataFrame, table: list[str], now: Column, retain: int = 10
 
 def orphaned(listed: DataFrame, referenced: DataFrame, now: Column, min_age: int = 7 * DAY, path: str = "path") -> DataFrame:
     """Listed files, old enough, that nothing refers to."""
-    return listed.where(F.col("modified") < now - F.lit(min_age)).join(referenced.select(path).distinct(), path, "left_anti")
+    return listed.where(F.col("modified") < now - F.lit(min_age)).join(referenced.select(path), path, "left_anti")
 
 
 def check_orphan_age(hours: float, streaming: bool, dry_run: bool) -> None:

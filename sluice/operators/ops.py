@@ -159,3 +159,83 @@ def control(jobs: DataFrame, action: str, now: Column, owner: str | None = None)
 def expand_targets(operations: list[str], namespaces: list[str], tables: list[str]) -> list[tuple[str, str, str]]:
     """Every operation on every table of every namespace, each once and in order."""
     return list(dict.fromkeys((o, n.strip(), t.strip()) for o in operations for n in namespaces for t in tables if n.strip() and t.strip()))
+
+
+def claim_inventory(state: DataFrame, monitors: DataFrame, now: Column, least_priority: int = 0, limit: int = 1) -> DataFrame:
+    """Tables to be scanned next: snapshot done, due, not leased, and with an active monitor if one owns them; by priority, the longest due first."""
+    active = monitors.where("status = 'active'").select("owner", F.lit(True).alias("_active"))
+    free = F.col("inventory_lease_until").isNull() | (F.col("inventory_lease_until") < now)
+    ready = state.where(F.col("complete") & (F.col("next_inventory") <= now) & (F.col("inventory_priority") >= least_priority) & free)
+    ready = ready.join(active, "owner", "left").where((F.col("owner_type") != "monitor") | F.col("_active")).drop("_active")
+    return ready.orderBy(F.desc("inventory_priority"), "next_inventory", "table_key").limit(limit)
+
+
+def finish_inventory(state: DataFrame, claimed: DataFrame, now: Column, retry_at: Column | None = None) -> DataFrame:
+    """Give up the leases of (table_key, worker, snapshot): a table that was written meanwhile is due again at once, others aren't; ``retry_at`` for scans that failed."""
+    c = claimed.select("table_key", F.col("worker").alias("inventory_lease_owner"), F.col("snapshot").alias("_seen"), F.lit(True).alias("_mine"))
+    joined = state.join(c, ["table_key", "inventory_lease_owner"], "left")
+    mine, written = F.coalesce("_mine", F.lit(False)), F.col("last_snapshot") != F.col("_seen")
+    due = retry_at if retry_at is not None else F.when(written, now)
+    priority = F.col("inventory_priority") if retry_at is not None else F.when(written, F.greatest("inventory_priority", F.lit(50))).otherwise(0)
+    freed = {c: F.when(~mine, F.col(c)) for c in ("inventory_lease_owner", "inventory_lease_until")}
+    changed = {"next_inventory": F.when(mine, due).otherwise(F.col("next_inventory")), "inventory_priority": F.when(mine, priority).otherwise(F.col("inventory_priority"))}
+    return joined.withColumns(freed | changed).select(*state.columns)
+
+
+def claim_jobs(jobs: DataFrame, role: str, now: Column, limit: int = 100) -> DataFrame:
+    """Jobs that should run in a role and that nobody holds; those untouched longest first."""
+    free = F.col("lease_until").isNull() | (F.col("lease_until") < now)
+    return jobs.where((F.col("role") == role) & (F.col("desired") == "running") & free).orderBy("updated_at", "job_id").limit(limit if limit > 0 else 100)
+
+
+def enqueue(due: DataFrame, tasks: DataFrame, operation: str, priority: int, window: Column, now: Column) -> DataFrame:
+    """New tasks of tables that are due: one for each table, operation and window, and none beside an open one."""
+    from ..functions.scalars import idempotency_key
+
+    key = idempotency_key(F.col("table_key").cast("string"), F.lit(operation), window.cast("string"))
+    new = due.select("table_key", F.lit(operation).alias("operation"), F.lit(priority).alias("priority"), F.lit("queued").alias("status"), F.lit(0).alias("attempt"), now.alias("not_before"), key.alias("idempotency_key"))
+    known = tasks.select("idempotency_key").where("idempotency_key IS NOT NULL")
+    open_ = tasks.where((F.col("operation") == operation) & F.col("status").isin(*ACTIVE)).select("table_key")
+    return new.join(known, "idempotency_key", "left_anti").join(open_, "table_key", "left_anti")
+
+
+def finish_tasks(tasks: DataFrame, outcomes: DataFrame, now: Column, base: int, retry_limit: int) -> DataFrame:
+    """Claimed tasks after their outcomes (id, result, retryable): succeeded and skipped end; what failed is tried again after a growing delay while attempts are left."""
+    from ..functions.scalars import retry_delay
+
+    joined = tasks.join(outcomes.select("id", "result", "retryable"), "id", "left")
+    again = (F.col("result") == "failed") & F.coalesce("retryable", F.lit(False)) & (F.col("attempt") < retry_limit)
+    status = F.when(F.col("result").isNull(), F.col("status")).when(again, "retry").otherwise(F.col("result"))
+    later = F.when(again, now + retry_delay(F.lit(base), F.col("attempt"))).otherwise(F.col("not_before"))
+    return joined.withColumns({"status": status, "not_before": later}).drop("result", "retryable")
+
+
+def owned_results(results: DataFrame, tasks: DataFrame, run: int, owner, limit: int = 100) -> DataFrame:
+    """Results of a run whose tasks belong to an owner, in order."""
+    mine = tasks.where(F.col("owner") == owner).select(F.col("id").alias("task_id"))
+    return results.where(F.col("run_id") == run).join(mine, "task_id", "left_semi").orderBy("id").limit(limit if 0 < limit <= 500 else 100)
+
+
+def owned_states(state: DataFrame, owner, limit: int = 5000) -> DataFrame:
+    return state.where(F.col("owner") == owner).orderBy("namespace", "table_name").limit(limit if 0 < limit <= 5000 else 5000)
+
+
+def run_totals(results: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Runs that each owner has a part in, for pages."""
+    return results.join(tasks.select(F.col("id").alias("task_id"), "owner"), "task_id").groupBy("owner").agg(F.countDistinct("run_id").alias("runs"))
+
+
+def missing_tables(requested: DataFrame, state: DataFrame, key: str = "table_key") -> DataFrame:
+    return requested.select(key).distinct().join(state.select(key), key, "left_anti")
+
+
+def fan_in(sources: DataFrame, target: str = "target") -> DataFrame:
+    """Sources by the name of their target, told apart without regard to case and outer space; more than one feed it where ``shared``."""
+    name = F.lower(F.trim(F.col(target)))
+    return sources.groupBy(name.alias("target")).agg(F.count("*").alias("sources"), F.min("name").alias("first_source")).withColumn("shared", F.col("sources") > 1)
+
+
+def pending_batches(waiting: DataFrame, by: list[str], now: Column, *, rows: int = 200, size: int = 128 << 20, oldest: int = 30, idle: int = 30) -> DataFrame:
+    """Changes that wait, (size, at) by table: how many, how large, since when, and whether they are to be written now."""
+    each = waiting.groupBy(*by).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    return each.withColumn("due", (F.col("n") >= rows) | (F.col("size") >= size) | (now - F.col("first_at") >= oldest) | (now - F.col("last_at") >= idle))

@@ -116,13 +116,21 @@ def batch_delta_counts(spark, sf_dir):
 
 
 @query("""
-    WITH e AS (SELECT user_id AS k, max(ts) AS at FROM events GROUP BY 1), c AS (SELECT c_custkey AS k, TIMESTAMP '2020-01-01' + to_days(CAST(c_nationkey AS INTEGER)) AS created, TIMESTAMP '2021-01-01' AS updated FROM customer)
-    SELECT e.k, coalesce(c.created, e.at) AS created_at, e.at AS updated_at, TIMESTAMP '2024-01-01' AS etl_loaded_at FROM e LEFT JOIN c USING (k)""")
+    WITH e AS (SELECT user_id AS k, max(ts) AS seen FROM events GROUP BY 1),
+    r AS (SELECT k, seen, CASE WHEN k % 3 = 0 THEN seen END AS made, CASE WHEN k % 5 = 0 THEN TIMESTAMP '2019-01-01' END AS created_at FROM e),
+    c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN TIMESTAMP '2020-01-01' + to_seconds(c_nationkey) END AS old, TIMESTAMP '2021-01-01' AS changed FROM customer WHERE c_custkey % 7 > 0)
+    SELECT 'change' AS kind, r.k, CASE WHEN r.created_at IS NOT NULL THEN r.created_at ELSE c.old END AS created_at, r.seen AS updated_at FROM r LEFT JOIN c USING (k)
+    UNION ALL SELECT 'snapshot', r.k, CASE WHEN r.created_at IS NOT NULL THEN r.created_at ELSE c.old END, c.changed FROM r LEFT JOIN c USING (k)
+    UNION ALL SELECT 'mapped', r.k, r.made, r.seen FROM r""")
 def metadata_columns(spark, sf_dir):
     rows = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.max("ts").alias("at"))
-    old = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("TIMESTAMP_NTZ '2020-01-01' + make_interval(0, 0, 0, c_nationkey)").cast("timestamp_ntz").alias("created_at"), F.expr("TIMESTAMP_NTZ '2021-01-01'").alias("updated_at"))
-    out = ap.with_metadata(rows, old, ["k"], loaded_at=F.expr("TIMESTAMP_NTZ '2024-01-01'"), event_time=F.col("at"))
-    return out.select("k", "created_at", "updated_at", "etl_loaded_at")
+    rows = rows.select("k", "at", F.when(F.col("k") % 3 == 0, F.col("at")).alias("made"), F.when(F.col("k") % 5 == 0, F.expr("TIMESTAMP_NTZ '2019-01-01'")).alias("created_at"))
+    there = F.expr("TIMESTAMP_NTZ '2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, c_nationkey)").cast("timestamp_ntz")
+    old = t(spark, sf_dir, "customer").where("c_custkey % 7 > 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 4 > 0, there).alias("created_at"), F.expr("TIMESTAMP_NTZ '2021-01-01'").alias("updated_at"))
+    now = F.expr("TIMESTAMP_NTZ '2024-01-01'")
+    kinds = {"change": (F.col("at"), None), "snapshot": (None, None), "mapped": (F.col("at"), "made")}
+    out = [ap.with_metadata(rows, old, ["k"], loaded_at=now, event_time=at, created_from=made).select(F.lit(k).alias("kind"), "k", "created_at", "updated_at") for k, (at, made) in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000")
@@ -479,13 +487,24 @@ def expire_snapshots(spark, sf_dir):
     return mt.expired(v, ["tbl"], F.lit(860000000)).select("tbl", "version")
 
 
-@query()
+GREEDY = """
+    WITH RECURSIVE o AS ({rows}),
+    r AS (
+      SELECT g, n, id, 0 AS chunk, 1 AS c, size AS held FROM o WHERE n = 1 UNION ALL
+      SELECT o.g, o.n, o.id, CASE WHEN r.c >= {most} OR r.held + o.size > {bytes} THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.c >= {most} OR r.held + o.size > {bytes} THEN 1 ELSE r.c + 1 END,
+        CASE WHEN r.c >= {most} OR r.held + o.size > {bytes} THEN o.size ELSE r.held + o.size END FROM r JOIN o ON o.g = r.g AND o.n = r.n + 1)"""
+UNFIT = f"""SELECT table_key AS g, path AS id, size, row_number() OVER (PARTITION BY table_key ORDER BY size, path) AS n
+    FROM (SELECT table_key, path, min(bytes) AS size FROM ({FILES}) GROUP BY ALL) WHERE size < 67108864 OR size > 241591910"""
+
+
+@query(GREEDY.format(rows=UNFIT, most=1 << 30, bytes=128 << 20) + f""", u AS ({UNFIT})
+    SELECT r.g AS table_key, r.id AS path, u.size AS bytes, r.chunk AS bin FROM r JOIN u ON u.g = r.g AND u.id = r.id QUALIFY count(*) OVER (PARTITION BY r.g, r.chunk) >= 10""")
 def bin_pack_groups(spark, sf_dir):
-    f = files(spark, sf_dir).select("table_key", "path", F.col("bytes"), F.lit(0).alias("deletes"), "content").dropDuplicates(["table_key", "path"])
+    f = files(spark, sf_dir).groupBy("table_key", "path").agg(F.min("bytes").alias("bytes")).withColumn("deletes", F.lit(0))
     return mt.bin_pack(f, ["table_key"]).select("table_key", "path", "bytes", "bin")
 
 
-@query()
+@query(GREEDY.format(rows="SELECT o_custkey AS g, o_orderkey AS id, strlen(o_orderpriority) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders", most=5, bytes=40) + " SELECT id AS o_orderkey, g AS o_custkey, chunk FROM r")
 def split_rows_by_limits(spark, sf_dir):
     df = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.octet_length("o_orderpriority").alias("size"))
     return ap.split_rows(df, ["o_orderkey"], "size", 5, 40, ["o_custkey"]).select("o_orderkey", "o_custkey", "chunk")
@@ -610,22 +629,4 @@ def activity_list(spark, sf_dir):
     return rows.orderBy(F.desc("last_at"), "user_id", "event_type").limit(100)
 
 
-@query()
-def stream_apply(spark, sf_dir):
-    """The feed in two files, streamed into a versioned table; compare with reducing and applying it at once."""
-    import uuid
-
-    from ..operators.table import VersionedTable
-    from ..streaming.apply import apply_stream, read_changes
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="stream-")
-    root = f"{base}/stream-{uuid.uuid4().hex}"
-    f = feed(spark, sf_dir)
-    f.repartitionByRange(2, "pos").sortWithinPartitions("pos").write.parquet(f"{root}/changes")
-    table = VersionedTable(spark, f"{root}/table")
-    apply_stream(read_changes(spark, f"{root}/changes", f.schema, 1), table, f"{root}/offsets", ["k"], ["k", "pos", "value"]).awaitTermination()
-    return table.read()
+from . import control, fixtures, tables  # noqa: E402, F401 - they register their queries here

@@ -26,7 +26,7 @@ def apply_batch(table: VersionedTable, batch: DataFrame, batch_id: int, keys: li
     batch = batch.persist()
     try:
         if not batch.isEmpty():
-            table.apply(delete_keys(batch, keys, order).select(*keys), live_rows(batch, keys, order).select(*columns), keys, batch=batch_id)
+            table.commit_delta(delete_keys(batch, keys, order).select(*keys), live_rows(batch, keys, order).select(*columns), keys, batch=batch_id)
     finally:
         batch.unpersist()
 

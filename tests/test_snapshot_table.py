@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -58,7 +59,7 @@ def test_versions_batches_conflicts_and_expiry(spark, tmp_path):
     with pytest.raises(CommitConflict):
         table._commit(table.versions()[0], [], rows().schema, 0, "x", None, {})
     table.compact()
-    assert table.read().count() == 3
+    assert table.read().count() == 3 and all(p.endswith(".json") for p in os.listdir(tmp_path / "t/versions") if not p.startswith("."))
     assert table.expire(older_than_s=0, retain=2, now=table.current().at + 10) == [0, 1]
     gone = table.orphans(min_age_s=0, now=table.current().at + 10, dry_run=False)
     assert gone and table.read().count() == 3 and table.orphans(min_age_s=0, now=table.current().at + 10) == []
@@ -66,6 +67,49 @@ def test_versions_batches_conflicts_and_expiry(spark, tmp_path):
         VersionedTable(spark, str(tmp_path / "none")).read()
 
 
+def test_of_two_writers_neither_loses_rows(spark, tmp_path):
+    """A writer that began from a version that is no longer the newest fails if it replaces rows, and comes after the other if it only adds."""
+    one, two = (VersionedTable(spark, str(tmp_path / "t")) for _ in range(2))
+    rows = lambda *ks: spark.createDataFrame([(k, str(k)) for k in ks], "k long, v string")
+    keys = lambda: sorted(r["k"] for r in one.read().collect())
+    one.overwrite(rows(1, 2))
+    write, meanwhile = one._write, [lambda: two.append(rows(100))]
+
+    def slow(df, by=()):
+        out = write(df, by)
+        while meanwhile:
+            meanwhile.pop()()
+        return out
+
+    one._write = slow
+    for attempt in (lambda: one.apply(rows(1), rows(7), ["k"]), lambda: one.commit_delta(rows(1), rows(7), ["k"]), one.compact):
+        before = keys()
+        meanwhile.append(lambda: two.append(rows(100)))
+        with pytest.raises(CommitConflict):
+            attempt()
+        assert keys() == sorted([*before, *[100] * (len(keys()) - len(before))]) and len(keys()) > len(before)
+    meanwhile.append(lambda: two.append(rows(200)))
+    one.append(rows(300))
+    assert {1, 2, 100, 200, 300} == set(keys())
+
+
+def test_deltas_are_merged_when_read(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda *ks: spark.createDataFrame([(k, p) for k, p in ks], "k long, part string")
+    table.commit_delta(rows(), rows((1, "a"), (2, "a"), (None, "a")), ["k"], batch=0)
+    v = table.commit_delta(rows((1, "a")), rows((2, "b")), ["k"], batch=1)
+    assert table.commit_delta(rows((9, "a")), rows((9, "b")), ["k"], batch=1) == v and (v.operation, v.rows) == ("delete-append", 4)
+    assert sorted(map(str, (tuple(r) for r in table.read().collect()))) == ["(2, 'b')", "(None, 'a')"]
+    assert table.commit_delta(rows((None, "a")), rows(), ["k"]).operation == "delete" and table.read().count() == 1 and table.read(1).count() == 2
+    # a key goes in the partitions that it is listed with
+    table.append(rows((2, "c")))
+    table.commit_delta(rows((2, "b")), rows((5, None)), ["k"], by=("part",))
+    assert sorted(map(str, (tuple(r) for r in table.read().collect()))) == ["(2, 'c')", "(5, None)"]
+    assert table.orphans(min_age_s=0, now=table.current().at + 10) == []
+    table.compact()
+    assert table.current().deletes == [] and table.metadata_rows() == 2 == table.read().count()
+
+
 def test_stream_goes_on_from_its_checkpoint_and_handoff_heals(spark, tmp_path, sf_dir):
     f = plans.feed(spark, sf_dir).limit(400)
     parts = [f.where("pos % 2 = 0 AND pos < 200"), f.where("pos >= 200")]
