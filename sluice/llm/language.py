@@ -12,9 +12,11 @@ stretches of text for all languages in step, one array lookup a letter. Only the
 ``DENSE`` most frequent letters have columns; transitions by other letters, of
 which scripts with thousands have many and each state few, are looked up in one
 sorted array. Texts
-are cut into stretches of ``STRETCH`` letters, each parsed from the root, and
-the phrases of all of a text's stretches are added: whole texts count, and very
-long ones don't hold up the rest.
+are cut into stretches of ``STRETCH`` letters, each parsed from the root, so that
+very long ones don't hold up the rest. A second pass begins each stretch in the
+state that the one before it ended in; as soon as this comes to the state that
+the parse from the root is in there, both go on alike. So the phrases are those
+of a parse of the whole text from its first letter.
 """
 
 from __future__ import annotations
@@ -143,13 +145,20 @@ class Languages:
             a = b
         return out, some
 
-    def _rare(self, state: np.ndarray, letters: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases ended and next states by letters without a column, as the table has them for others."""
-        key = state.astype(np.int64) // self.width * self.rare + letters
-        at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
-        hit, again = self.rare_keys[at] == key, self.rare_roots[:, letters]
-        ended = np.where(hit, 0, np.where((again >= 0) | (state == roots), 1, 2))
-        return ended, np.where(hit, self.rare_to[at], np.where(again >= 0, again, roots))
+    def _step(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended and next states, element by element."""
+        rare = np.flatnonzero(symbol >= self.width) if self.rare else ()
+        v = self.table.take(state + (np.where(symbol >= self.width, OTHER, symbol) if len(rare) else symbol))
+        ended, to = v & 3, v >> 2
+        if len(rare):
+            # transitions by letters without a column, as the table has them for others
+            letter, of, roots = symbol[rare] - self.width, language[rare], np.array(self.roots, self.table.dtype)
+            key = state[rare].astype(np.int64) // self.width * self.rare + letter
+            at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+            hit, again = self.rare_keys[at] == key, self.rare_roots[of, letter]
+            ended[rare] = np.where(hit, 0, np.where((again >= 0) | (state[rare] == roots[of]), 1, 2))
+            to[rare] = np.where(hit, self.rare_to[at], np.where(again >= 0, again, roots[of]))
+        return ended, to
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, ends = letter_codes(texts)
@@ -160,26 +169,48 @@ class Languages:
         at = np.searchsorted(self.alphabet, codes)
         known = (at < len(self.alphabet)) & (self.alphabet[np.minimum(at, max(0, len(self.alphabet) - 1))] == codes) if len(self.alphabet) else np.zeros(len(codes), bool)
         symbols = np.where(codes == 0, GAP, np.where(known, self.symbols[np.minimum(at, max(0, len(self.alphabet) - 1))] if len(self.alphabet) else OTHER, OTHER)).astype(np.int32)
-        stretches = -(-lengths // STRETCH)
+        stretches = np.maximum(1, -(-lengths // STRETCH))
         first = np.concatenate([[0], np.cumsum(stretches)])
-        laid = np.full(int(first[-1]) * STRETCH, END, np.int32)
+        lanes, kinds = int(first[-1]), len(self.names)
+        laid = np.full(lanes * STRETCH, END, np.int32)
         laid[np.arange(len(codes)) + np.repeat(first[:-1] * STRETCH - starts, lengths)] = symbols
         laid = np.ascontiguousarray(laid.reshape(-1, STRETCH).T)
-        roots = np.array(self.roots, self.table.dtype)[:, None]
-        state, phrases = np.repeat(roots, laid.shape[1], 1), np.zeros((len(self.names), laid.shape[1]), np.int32)
-        rows = (laid >= self.width).any(1) if self.rare else np.zeros(STRETCH, bool)
-        for row, some_rare in zip(laid, rows, strict=True):
-            if some_rare:
-                cols = np.flatnonzero(row >= self.width)
-                ended, to = self._rare(state[:, cols], row[cols] - self.width, roots)
-                row = np.where(row >= self.width, OTHER, row)
-            v = self.table.take(state + row)
-            phrases_now, state = (v & 3).astype(np.int32, copy=False), v >> 2
-            if some_rare:
-                phrases_now[:, cols], state[:, cols] = ended, to
-            phrases += phrases_now
-        phrases += state != roots
-        sums = np.concatenate([np.zeros((len(self.names), 1)), np.cumsum(phrases, 1)], 1)
+        roots = np.array(self.roots, self.table.dtype)
+        # every stretch from the root, for all languages in step
+        language = np.repeat(np.arange(kinds), lanes)
+        state, phrases = np.repeat(roots, lanes), np.zeros(kinds * lanes, np.int64)
+        for row in laid:
+            ended, state = self._step(state, np.tile(row, kinds), language)
+            phrases += ended
+        own = state.reshape(kinds, lanes)
+        reached, more = own.copy(), np.zeros((kinds, lanes), np.int64)
+        # then from where the stretch before has come to, until both ways are in one state: from there they are the same
+        goes_on = np.ones(lanes + 1, bool)
+        goes_on[first] = False
+        of, lane = (x.ravel() for x in np.meshgrid(np.arange(kinds), np.flatnonzero(goes_on), indexing="ij"))
+        while len(lane):
+            a, b = roots[of], reached[of, lane - 1]
+            active, change = np.flatnonzero(a != b), np.zeros(len(lane), np.int64)
+            a, b = a[active], b[active]
+            for row in laid:
+                if not len(active):
+                    break
+                symbol, kind = row[lane[active]], of[active]
+                ended_a, a = self._step(a, symbol, kind)
+                ended_b, b = self._step(b, symbol, kind)
+                change[active] += ended_b - ended_a.astype(np.int64)
+                apart = a != b
+                active, a, b = active[apart], a[apart], b[apart]
+            more[of, lane] = change
+            end = own[of, lane]
+            end[active] = b
+            moved = end != reached[of, lane]
+            reached[of, lane] = end
+            of, lane = of[moved], lane[moved] + 1
+            of, lane = of[goes_on[lane]], lane[goes_on[lane]]
+        phrases = phrases.reshape(kinds, lanes) + more
+        phrases[:, first[1:] - 1] += reached[:, first[1:] - 1] != roots[:, None]
+        sums = np.concatenate([np.zeros((kinds, 1)), np.cumsum(phrases, 1)], 1)
         count = sums[:, first[1:]] - sums[:, first[:-1]]
         return (count * np.array(self.bits)[:, None] / np.maximum(1, lengths)).T, some
 
@@ -188,24 +219,26 @@ def learn(docs: DataFrame, train: Column, *, sample_docs: int = 64, sample_lette
     """Automata of at most ``sample_letters`` letters from ``sample_docs`` documents a language.
 
     The documents are those with the least hashes of their ids, so that reruns
-    take the same. Rows with a null label or text are not learned from, nor
-    languages whose sample has no letter.
+    take the same, and are learned from whole, as long as they fit; only where
+    all of a language's documents are longer is the first one cut. Rows with a
+    null label or text are not learned from, nor languages whose sample has no
+    letter.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), train.alias("train"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), train.alias("train"), (F.length(text) > sample_letters).alias("long"))
     own = own.where("train AND lang IS NOT NULL AND text IS NOT NULL").withColumn("draw", F.xxhash64("id"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw", "id"))
-    chosen = own.select("id", "lang", "draw").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "lang").distinct()
-    rows = own.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "draw", "text").collect()
-    texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"])
-    samples = {}
-    for lang, some in texts.items():
-        each = max(1, sample_letters // len(some))
-        whole = " ".join(t[:each] for t in some) if sum(map(len, some)) > sample_letters else " ".join(some)
-        if any(c.isalpha() for c in whole):
-            samples[lang] = whole
-    return Languages(samples)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("long", "draw", "id"))
+    chosen = own.select("id", "lang", "draw", "long").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "lang", "long").distinct()
+    # one text for an id, and no more of it than can be learned from
+    held = own.join(F.broadcast(chosen), ["id", "lang", "long"], "left_semi").groupBy("lang", "long", "draw", "id").agg(F.min(F.substring("text", 1, sample_letters)).alias("text"))
+    samples: dict[str, str] = {}
+    for r in sorted(held.collect(), key=lambda r: (r["lang"], r["long"], r["draw"], r["text"])):
+        so_far = samples.get(r["lang"])
+        if so_far is None:
+            samples[r["lang"]] = r["text"]
+        elif len(so_far) + 1 + len(r["text"]) <= sample_letters:
+            samples[r["lang"]] = f"{so_far} {r['text']}"
+    return Languages({lang: text for lang, text in samples.items() if any(c.isalpha() for c in text)})
 
 
 def identify(docs: DataFrame, model: Languages, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 4.0, keep: tuple[str, ...] = ()) -> DataFrame:

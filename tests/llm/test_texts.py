@@ -184,16 +184,20 @@ def test_cross_parsing_against_brute_force():
     rng = random.Random(6)
     samples = {k: prose(rng, 150, k) for k in "ab"}
     m = language.Languages(samples)
-    texts = [prose(rng, rng.randint(1, 30), rng.choice("ab"))[: language.STRETCH] for _ in range(40)] + ["zzz", "ka!!to  42 ÄQ", "é"]
+    texts = [prose(rng, rng.randint(1, 30), rng.choice("ab")) for _ in range(40)] + [prose(rng, 200, k) for k in "ab"] + ["zzz", "ka!!to  42 ÄQ", "é"]
     got, some = m.entropies(texts)
     for t, row, ok in zip(texts, got, some, strict=True):
         codes = "".join(chr(c) if c else " " for c in language.letter_codes([t])[0])
         want = [phrases(codes, "".join(chr(c) if c else " " for c in language.letter_codes([samples[k]])[0])) for k in m.names]
         assert ok and np.allclose(row, [p * b / len(codes) for p, b in zip(want, m.bits, strict=True)])
     assert not m.entropies(["", "12 !", " "])[1].any()
-    # stretches add up: a long text has the phrases of its pieces
-    long = prose(rng, 2000)
-    assert np.isfinite(m.entropies([long])[0]).all()
+    # texts of many stretches: 100,000 letters, whole samples in one phrase, letters that no sample has at every cut
+    long = [prose(rng, 25_000), samples["a"] * 3 + samples["b"], samples["a"][7:] + " " + samples["a"], "z" * 700, ("ka" * 127 + "zz") * 5, prose(rng, 300) + prose(rng, 300, "b"), ""]
+    got, _ = m.entropies(long)
+    for t, row in zip(long[:-1], got, strict=False):
+        codes = "".join(chr(c) if c else " " for c in language.letter_codes([t])[0])
+        want = [phrases(codes, "".join(chr(c) if c else " " for c in language.letter_codes([samples[k]])[0])) for k in m.names]
+        assert np.allclose(row, [p * b / len(codes) for p, b in zip(want, m.bits, strict=True)])
 
 
 def test_scripts_of_thousands_of_letters_are_told_apart(monkeypatch):
@@ -209,7 +213,7 @@ def test_scripts_of_thousands_of_letters_are_told_apart(monkeypatch):
     assert (got.min(1) < m.uniform).all()
     # columns or not, the parse is that of search
     short = {k: t[:300] for k, t in samples.items()}
-    tests = [(t[:40] + "zÿ") for _, t in texts] + ["", "ÿÿ", samples["zh"][:20] + "ÿ" + samples["ko"][:20]]
+    tests = [(t[:40] + "zÿ") for _, t in texts] + [write(k, 600)[:900] for k in words] + ["", "ÿÿ", samples["zh"][:20] + "ÿ" + samples["ko"][:20]]
     for dense in (250, 20, 0):
         monkeypatch.setattr(language, "DENSE", dense)
         m = language.Languages(short)
