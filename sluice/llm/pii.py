@@ -19,13 +19,14 @@ again until no surrogate is shared.
 from __future__ import annotations
 
 import re
+import secrets as random_bytes
 from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -71,16 +72,27 @@ class Mention(NamedTuple):
     canonical: str  # for names with the gender before it
 
 
+def around(text: str, at: int) -> tuple[int, int]:
+    """What is searched for a mark: as far as forms with digits reach, and for an @ the whole run of an address's characters, however long."""
+    a = b = at
+    if text[at] == "@":
+        while a and (text[a - 1].isalnum() or text[a - 1] in "_.+-"):
+            a -= 1
+        while b + 1 < len(text) and (text[b + 1].isalnum() or text[b + 1] in "_.-"):
+            b += 1
+    return a - NEAR, b + 1 + NEAR
+
+
 def mentions(text: str | None) -> list[Mention]:
     """Entities in order, not overlapping."""
     if not text:
         return []
     found, done, spans = [], 0, []
-    near = [(m.start() - NEAR, m.end() + NEAR) for m in MARK.finditer(text)]
+    near = [around(text, m.start()) for m in MARK.finditer(text)]
     # a secret needs no such character, and its value may be of any length
     if secrets := [m.span() for m in SECRET.finditer(text)]:
-        near = sorted(near + secrets)
-    for a, b in near:
+        near += secrets
+    for a, b in sorted(near):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
@@ -203,11 +215,17 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         if listed:
             names = GIVEN[(gender, listed[1])] if (gender, listed[1]) in GIVEN else GIVEN[listed]
             names = names if parts[0] in names else GIVEN[listed]
-            out[0] = names[permute([names.index(parts[0])], [len(names)], key, "given")[0]]
+            out[0] = following(names, parts[0], key)
         return f"{gender}|{' '.join(out)}"
     return scramble(form, key, tweak)
 
 
+def following(names: list[str], name: str, key: bytes) -> str:
+    """The next name in a keyed circle of all: a bijection that leaves no name as it is."""
+    circle = sorted(names, key=lambda n: next_int(draw(key, "given", n)))
+    return circle[(circle.index(name) + 1) % len(circle)]
+
+
 def render(kind: str, mention: str, new: str) -> str:
     """The surrogate in the mention's layout."""
     if kind == "name":
@@ -261,16 +279,31 @@ def redrawn(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     return held.where("attempt > 0").select("kind", "form", "attempt")
 
 
-def replace_personal_data(docs: DataFrame, *, key: bytes = b"replace this key", id_col: str = "doc_id", text_col: str = "text", sent_entities: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def own_key(spark: SparkSession) -> bytes:
+    """The key in `spark.sluice.surrogates.key` (hexadecimal, 16 bytes at least), else one drawn for this call that nobody keeps.
+
+    Under a key that is known surrogates can be turned back, so there is none by default.
+    """
+    given = spark.conf.get("spark.sluice.surrogates.key", "")
+    if not given:
+        return random_bytes.token_bytes(32)
+    if len(key := bytes.fromhex(given)) < 16:
+        raise ValueError("spark.sluice.surrogates.key must have 16 bytes at least")
+    return key[:64]
+
+
+def replace_personal_data(docs: DataFrame, *, key: bytes | None = None, id_col: str = "doc_id", text_col: str = "text", sent_entities: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its entities replaced: ``id_col``, columns of ``keep``, text, entities.
 
     ``entities`` lists (kind, start, end, surrogate) by place in the old text.
     A null text stays null and an empty one empty, both without entities;
     repeated rows are treated alike; an empty table gives an empty result.
-    Other columns are not read. Entities that had to be drawn again, if no more
+    Other columns are not read. Without ``key`` it is that of ``own_key``: set
+    one where runs must agree. Entities that had to be drawn again, if no more
     than ``sent_entities``, go to all tasks, else only to their documents by a
     join on the id.
     """
+    key = key or own_key(docs.sparkSession)
     again = redrawn(docs, key, text_col)
     few = again.limit(sent_entities + 1).collect()
     rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))

@@ -373,6 +373,31 @@ def test_secrets_without_digits_or_with_a_late_one():
     assert pii.mentions("the password is correcthorsebattery") == pii.mentions("token = short") == []
 
 
+def test_addresses_of_any_length_and_names_that_never_stay():
+    local = "a" * 400 + ".b+c" + "d" * 300
+    text = f"write {local}@{'m' * 200}.example.com, or 7 to me"
+    assert [(m.kind, text[m.start : m.end]) for m in pii.mentions(text)] == [("email", f"{local}@{'m' * 200}.example.com")]
+    assert pii.mentions("@" * 3000 + "a" * 3000) == []
+    for names in pii.GIVEN.values():
+        for key in (b"k", b"another", b"third"):
+            new = [pii.following(names, n, key) for n in names]
+            assert sorted(new) == sorted(names) and not any(a == b for a, b in zip(names, new, strict=True))
+
+
+def test_the_key_is_configured_or_drawn(spark, documents):
+    df = documents([(1, "write to erer.55@mail4.example.com")])
+    text = lambda: pii.replace_personal_data(df).first()["text"]
+    assert text() != text()  # no key: drawn anew
+    spark.conf.set("spark.sluice.surrogates.key", "00" * 16)
+    try:
+        assert text() == text() == pii.replace_personal_data(df, key=bytes(16)).first()["text"]
+        spark.conf.set("spark.sluice.surrogates.key", "00")
+        with pytest.raises(ValueError):
+            text()
+    finally:
+        spark.conf.unset("spark.sluice.surrogates.key")
+
+
 def test_permutations_are_bijections():
     for kind, forms in (("ssn", [f"{i:04d}" for i in range(10_000)]), ("ip", [f"1.2.{a}.{b}" for a in range(40) for b in range(40)]), ("email", [f"{a}{b}.{n}@m.example.com" for a in "abcxyz" for b in "abc" for n in range(10)]), ("card", [f"411111111{i:04d}" for i in range(3000)])):
         assert len({pii.surrogate(kind, f, b"k") for f in forms}) == len(forms)
