@@ -1,13 +1,17 @@
 """Licence scan: a trained paragraph classifier, in DataFrame functions.
 
-Paragraphs are the lines of a text with a cue word, each by itself and, since
-notices are often wrapped, along with the words before and behind it up to a
-line without any (as many as the longest notice has). They are turned into
-their distinct 1- to 3-word n-grams, joined with the weights of a sparse
-multinomial logistic regression and summed by paragraph; a softmax gives the
-family's probability. A family below the calibrated probability is `unknown`.
-The prediction is confirmed where the family's closest template has enough of
-its word pairs in the paragraph.
+Lines, each by itself and, since notices are often wrapped, along with the
+words before and behind it up to a line without any (as many as the longest
+notice has), are turned into their distinct 1- to 3-word n-grams, joined with
+the weights of a sparse multinomial logistic regression and summed; a softmax
+gives the family's probability. A family below the calibrated probability is
+`unknown`. The prediction is confirmed where the family's closest template has
+enough of its word pairs in the paragraph.
+
+Which lines are looked at follows from the weights: the gate is a set of words
+such that all n-grams without one of them, taken together, can't lift any
+family above `none`. So a line without a gate word is one that the classifier
+would pass over, and nothing is lost by not scoring it alone.
 
 The model is fit on the driver from the templates below, cut and mixed with
 ordinary words, against a bounded sample of ordinary paragraphs; the scan of
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -62,14 +67,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "Copyright by the author. All rights reserved. No part of this publication may be reproduced without prior written permission."),
     ("proprietary", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
 ]
-# Sentences with a cue that are no notices.
+# Sentences with a notice's words that are no notices.
 OTHERS = [
     "He lost his driver license on the way home.", "The licensed premises close at midnight.", "Copyright law is a difficult subject.", "She asked for permission to leave the room.",
     "The public domain is a topic of the course.", "A license fee of five euros is due each year.", "Which license should I choose for my project?", "The rights of citizens are reserved to the people.",
     "The warranty ends after two years.", "Redistribution of wealth was the subject of the debate.", "The council licenses street musicians.", "Without prior notice the shop was closed.",
 ]
-#: Beginnings of the words that a notice has at least one of.
-CUES = ["licen", "copyright", "copyleft", "rights reserved", "public domain", "permission", "redistribut", "creative commons", "cc by", "cc-by", "cc0", "gnu ", "gpl", "confidential", "unencumbered"]
 NONE = "none"
 
 
@@ -81,12 +84,32 @@ def grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def pairs_of(words: list[str]) -> set[str]:
+    """Word pairs; the words themselves where there is one only."""
+    return {" ".join(words[k : k + 2]) for k in range(len(words) - 1)} or set(words)
+
+
+def like_a_notice(words: list[str], share: float = 0.3) -> bool:
+    own = pairs_of(words) | set(words)
+    return any(len(t & own) >= share * len(t) for t in map(pairs_of, (tokens(t) for _, t in TEMPLATES)))
+
+
+def any_word(words: list[str]) -> str:
+    """A pattern of these words, letter by letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    each = [re.escape(c) + any_word(rest) if c else "" for c, rest in sorted(by.items(), reverse=True)]
+    return each[0] if len(each) == 1 else "(?:" + "|".join(each) + ")"
+
+
 class LicenceModel:
-    """Weights of the regression, and the probability from which a family is named."""
+    """Weights of the regression, the probability from which a family is named, and the gate."""
 
-    def __init__(self, ordinary: list[str], *, copies: int = 24, ridge: float = 3e-4, wrong: float = 0.01, seed: int = 5):
+    def __init__(self, ordinary: list[str], *, copies: int = 24, ridge: float = 3e-4, wrong: float = 0.01, paragraph_words: int = 200, seed: int = 5):
+        """Ordinary paragraphs that have a good part of a notice's word pairs are left out; ``paragraph_words`` of the others are learned from."""
         rng = random.Random(seed)
-        plain = [tokens(p)[:200] for p in ordinary] or [["text"]]
+        plain = [w[:paragraph_words] for p in ordinary if not like_a_notice(w := tokens(p))] or [["text"]]
         filler = [w for p in plain for w in p] or ["text"]
         known = {g for _, t in TEMPLATES for g in grams(tokens(t))} | {g for t in OTHERS for g in grams(tokens(t))}
         self.families = [NONE, *sorted({f for f, _ in TEMPLATES})]
@@ -119,6 +142,23 @@ class LicenceModel:
         fine = np.flatnonzero(bad <= wrong)
         self.least = float(max(0.5, min(0.95, named[order][fine[-1]] if len(fine) else 0.95)))
 
+        self.gate = self._gate(Counter(filler))
+
+    def _gate(self, common: Counter) -> list[str]:
+        margin = self.weights[:-1, 1:] - self.weights[:-1, :1]
+        gap = self.weights[-1, 0] - self.weights[-1, 1:]
+        lifting = [(set(self.features[i].split(" ")), np.maximum(margin[i], 0)) for i in np.flatnonzero(margin.max(1) > 0)]
+        gate = {min(words, key=lambda w: (common[w], -len(w), w)) for words, _ in lifting}
+        for w in sorted(gate, key=lambda w: (-common[w], w)):  # the commonest go, as long as what is then unseen can't do it alone
+            unseen = sum((m for words, m in lifting if not words & (gate - {w})), np.zeros(len(gap)))
+            if common[w] and (unseen < gap - 1e-6).all():
+                gate.discard(w)
+        return sorted(gate) if (gap > 1e-6).all() else []
+
+    def pattern(self) -> str:
+        """Of lower-cased lines that may be notices; of all where nothing is certain."""
+        return f"(?<![a-z0-9.]){any_word(self.gate)}(?![a-z0-9])" if self.gate else ""
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(1, keepdims=True))
@@ -142,12 +182,12 @@ class LicenceModel:
         return self._softmax(z[None])[0]
 
 
-def learn(docs: DataFrame, *, sample_docs: int = 200, sample_paragraphs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
-    """Fit with ordinary paragraphs of at most ``sample_docs`` documents, those with the least hashes of their ids."""
-    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.split(F.substring(text_col, 1, 4000), "\n").alias("lines"))
-    rows = own.orderBy("h", "id").limit(sample_docs).collect()
-    cue = re.compile("|".join(map(re.escape, CUES)))
-    return LicenceModel([p for r in rows for p in r["lines"] if p and not cue.search(p.lower())][:sample_paragraphs])
+def learn(docs: DataFrame, *, sample_docs: int = 200, sample_chars: int = 4000, sample_paragraphs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
+    """Fit with ordinary paragraphs from the first ``sample_chars`` characters of ``sample_docs`` documents, those with the least hashes."""
+    own = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    chosen = own.select("h").orderBy("h").limit(sample_docs).distinct()
+    rows = own.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text")).collect()
+    return LicenceModel([p for r in sorted(rows) for p in r["text"].split("\n") if p.strip()][:sample_paragraphs])
 
 
 def _words(paragraph: Column) -> Column:
@@ -164,9 +204,9 @@ def _grams(words: Column, n: int) -> Column:
 def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence notices: ``id_col``, paragraph (from 0), family, probability, template, similarity, confirmed.
 
-    A row for each line with a cue word that the model takes for a notice, and
-    for each notice that only a line and its neighbours confirm: it stands at
-    its first cue line, in place of what its lines give alone, and once for
+    A row for each line that the model takes for a notice, and for each notice
+    that only a line and its neighbours confirm: it stands at its first line
+    with a word of the gate, in place of what its lines give alone, and once for
     equal notices in reach of one another.
     ``family`` is `unknown` below the calibrated probability; ``template`` is
     the closest notice of the most probable family, ``similarity`` the share of
@@ -179,9 +219,9 @@ def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6,
     spark = docs.sparkSession
     n = len(model.families)
     reach = max(len(tokens(t)) for _, t in TEMPLATES)  # a line has a word or ends the notice, so so many lines suffice
-    cue = "(?i)" + "|".join(re.escape(c) for c in CUES)
-    split = docs.where(F.col(text_col).rlike(cue)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.split(F.col(text_col), "\n").alias("lines"))
-    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(cue))
+    gate = model.pattern()
+    split = docs.where(F.lower(F.col(text_col)).rlike(gate)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.split(F.col(text_col), "\n").alias("lines"))
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.lower(F.get("lines", i)).rlike(gate))
     before = lambda i: F.array_join(F.slice("lines", F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach))), "\n")
     own = F.transform(at, lambda i: F.struct(i.alias("paragraph"), F.get("lines", i).alias("line"), before(i).alias("before"), F.array_join(F.slice("lines", i + 2, F.lit(reach)), "\n").alias("after")))
     lines = split.select("id", "h", F.explode(own).alias("l")).select("id", "h", "l.*")
@@ -189,7 +229,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6,
     lines = lines.withColumn("before", F.element_at(F.split(closed(F.col("before")), blank), -1)).withColumn("after", F.split(closed(F.col("after")), blank)[0])
     count = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x != ""))
     lines = lines.select("id", "paragraph", "h", (F.col("paragraph") - count("before")).alias("from"), (F.col("paragraph") + count("after")).alias("to"), _words(F.col("line")).alias("words"), _words(F.col("before")).alias("b"), _words(F.col("after")).alias("a"))
-    lines = checkpointed(lines.dropDuplicates(["id", "paragraph", "h"]))  # few lines have a cue; the texts are read once
+    lines = checkpointed(lines.dropDuplicates(["id", "paragraph", "h"]))  # few lines have a gate word; the texts are read once
     around = F.concat(F.slice("b", F.greatest(F.lit(1), F.size("b") - reach + 1), F.lit(reach)), "words", F.slice("a", 1, reach))
     words = lines.select("id", "paragraph", "h", F.lit(False).alias("wide"), "words").unionByName(lines.where("from < to").select("id", "paragraph", "h", F.lit(True).alias("wide"), around.alias("words")))
     weights = spark.createDataFrame([(g, *map(float, model.weights[i])) for i, g in enumerate(model.features) if model.weights[i].any()], "gram string, " + ", ".join(f"w{k} double" for k in range(n)))
@@ -206,7 +246,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, *, confirm: float = 0.6,
     templates = []
     for i, (f, t) in enumerate(TEMPLATES):
         own = tokens(t)
-        templates.append((f, i, t, sorted({" ".join(own[k : k + 2]) for k in range(len(own) - 1)} or set(own))))
+        templates.append((f, i, t, sorted(pairs_of(own))))
     templates = spark.createDataFrame(templates, "likely string, no int, template string, pairs array<string>")
     pairs = words.select("id", "paragraph", "h", "wide", F.array_distinct(F.concat(_grams(F.col("words"), 1), _grams(F.col("words"), 2))).alias("own"))
     same = found["id"].eqNullSafe(pairs["id"]) & (found["paragraph"] == pairs["paragraph"]) & (found["h"] == pairs["h"]) & (found["wide"] == pairs["wide"])

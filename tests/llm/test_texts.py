@@ -310,6 +310,19 @@ def test_licences(spark, documents):
     assert licenses.scan_licences(df.limit(0), licenses.learn(df.limit(0))).count() == 0
 
 
+def test_the_gate_loses_nothing():
+    """No mix of n-grams, notices' own among them, is named a notice unless it has a gate word."""
+    rng = random.Random(35)
+    model = licenses.LicenceModel([prose(rng, 30) + " the of and to in a is it" for _ in range(200)])
+    gate = re.compile(model.pattern())
+    known = [g for g, w in zip(model.features, model.weights[:-1], strict=True) if w.any()]
+    unseen = [g for g in known if not gate.search(g)]
+    lines = [" , ".join(rng.sample(known, rng.randint(1, 40))) for _ in range(300)] + [" ".join(unseen), *(t for _, t in licenses.TEMPLATES), *licenses.OTHERS, prose(rng, 50), ""]
+    assert gate.pattern and unseen and sum(not gate.search(x.lower()) for x in lines) >= 3
+    assert all(gate.search(x.lower()) or model.probabilities(x).argmax() == 0 for x in lines)
+    assert all(gate.search(t.lower()) for _, t in licenses.TEMPLATES)
+
+
 def test_wrapped_notices_are_read_whole(spark, documents):
     rng = random.Random(15)
     rows, want = [], {}
