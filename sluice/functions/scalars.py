@@ -59,7 +59,7 @@ def parse_time(text: Column) -> Column:
 
 def sanitize_cell(text: Column) -> Column:
     """Line breaks, unit separators and carets to spaces, double quotes to single."""
-    return F.translate(F.regexp_replace(text, "\r\n|\n|\r", " "), '\x1f"^', " ' ")
+    return F.translate(F.replace(text, F.lit("\r\n"), F.lit(" ")), '\r\n\x1f"^', "   ' ")
 
 
 def ascii_fold(text: Column) -> Column:
@@ -200,8 +200,10 @@ def partition_transform(kind: str, column: Column, n: int | None = None) -> Colu
             return F.substring(column, 1, n)
         case "truncate_number":
             return column - F.pmod(column, F.lit(n))
-        case "bucket":
+        case "bucket":  # of whole numbers and dates; text has bytes that need a hash of their own
             return F.pmod(murmur3_long(column.cast("long")).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(n)).cast("int")
+        case "bucket_date":
+            return partition_transform("bucket", F.unix_date(column.cast("date")), n)
         case "void":
             return F.lit(None).cast("string")
     raise ValueError(f"unknown partition transform {kind}")

@@ -19,8 +19,8 @@ def inventory(files: DataFrame, by: list[str], small_below: int) -> DataFrame:
 
 
 def workload(files: DataFrame, by: list[str], path: str = "path") -> DataFrame:
-    """Files and bytes of a plan, with delete files counted once for each path."""
-    each = files.dropDuplicates([*by, path])
+    """Files and bytes of a plan, with files counted once for each path."""
+    each = files.groupBy(*by, path).agg(F.min("content").alias("content"), F.min("bytes").alias("bytes"))
     return each.groupBy(*by).agg(F.count_if(F.col("content") == "data").alias("files"), F.coalesce(F.sum(F.when(F.col("content") == "data", F.col("bytes"))), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("content") != "data").alias("delete_files"))
 
 

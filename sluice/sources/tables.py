@@ -58,12 +58,15 @@ def setting_for(settings: dict, schema: str, table: str):
     return by_name[min(fits, key=lambda k: (-specificity(k), k))] if fits else None
 
 
-def route(names: DataFrame, rules: DataFrame, name: str = "name", default: Column | None = None) -> DataFrame:
+def route(names: DataFrame, rules: DataFrame, name: str = "name", default: Column | None = None, most_rules: int = 10_000) -> DataFrame:
     """Add ``target``: of the exact rule, else of the most specific pattern, else the default or the name.
 
-    ``rules`` (pattern, target) is a configuration list. Distinct names are
+    ``rules`` (pattern, target) is a configuration list of ``most_rules`` at
+    most, which is checked before it is sent to all tasks. Distinct names are
     matched, so the comparison is bounded by names times rules, not by rows.
     """
+    if rules.limit(most_rules + 1).count() > most_rules:
+        raise ValueError(f"more than {most_rules} routing rules")
     distinct = names.select(name).distinct()
     p = F.col("pattern")
     like = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(p, r"([.+^$(){}|\[\]\\])", r"\\$1"), r"\*", ".*"), F.lit("$"))
