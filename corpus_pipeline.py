@@ -18,7 +18,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that no language explains better than even draws of letters.
 
-    A missing lang is filled in; a given one stays.
+    A missing lang is filled in; a given one stays. Null and empty texts have
+    no letter and go; repeated rows are judged alike; null ids stay; a tie
+    between languages goes to the first name; without any labelled text nothing
+    is known and all rows go. An empty table gives an empty result.
     """
     model = language.learn(docs, F.lit(True))
     found = language.identify(docs, model, keep=COLUMNS[1:])
@@ -50,15 +53,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item or a paraphrase of one."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Drops documents that hold a benchmark item or a paraphrase of one.
+
+    Texts are judged, whatever their ids: repeated rows of a text stay or go
+    together, null and empty texts stay. An empty table, or an empty benchmark,
+    changes nothing.
+    """
+    return decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it whole; a part of half or more counts as whole.
 
-    Where ids repeat or more than one is null, a document is an id, a text and a source.
+    Where ids repeat or more than one is null, a document is an id, a text and
+    a source; rows that are equal in these get together what the mix takes of
+    all. Null and empty texts, without words, can't be taken and go. An empty
+    table gives an empty result.
     """
+    docs = docs.select(*COLUMNS)
     row = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct(row).alias("d")).first()
     row = row if ids["n"] == ids["d"] else F.concat_ws("|", row, simhash.whole("text"), "source")
@@ -70,6 +82,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard of 16 by its id, and its slot there; nulls, repeats and empty tables as for `shard_documents`."""
     return sharding.shard_documents(docs, shards=16)
 
 
