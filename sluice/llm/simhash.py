@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +215,32 @@ def run_pairs(keys: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarra
             yield i, j
 
 
+def run_nearest(keys: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray], rank: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every row i with the row j of its key for which ok(i, j) and rank(i, j) is least, if there is one."""
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[cuts, len(keys)])
+    inside = np.repeat(np.where(sizes <= FEW, cuts + sizes, 0), sizes)
+    held = [(np.zeros(0, np.int64),) * 2]
+    for t in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+        i = np.flatnonzero(np.arange(t, len(keys)) < inside[:-t])
+        i = i[ok(i, i + t)]
+        held += [(i, i + t), (i + t, i)]
+    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((rank(i, j), i))
+    i, j = i[order], j[order]
+    first = np.r_[True, i[1:] != i[:-1]][: len(i)]
+    yield i[first], j[first]
+    for at, n in zip(cuts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        held = []
+        for i in range(at, at + n):
+            j = np.r_[at:i, i + 1 : at + n]
+            j = j[ok(np.full(len(j), i), j)]
+            if len(j):
+                held.append((i, int(j[rank(np.full(len(j), i), j).argmin()])))
+        if held:
+            yield tuple(np.array(held).T)
+
+
 def _sweep(parts: list[list[int]], differ: int):
     def linked(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -330,7 +357,7 @@ def _verified(rows: DataFrame, docs: DataFrame, bits: int, bucket_rows: int, wor
 
     A forest of the links is verified first. Where one fails, others between the
     same groups may hold: for all texts of these groups the links that a shared
-    rare shingle leaves possible are verified then.
+    rare shingle leaves possible are verified then, in two steps.
     """
     ids = rows.groupBy("whole", "id").agg(F.count("*").alias("n"), F.min("fps").alias("fps"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("m")
@@ -372,14 +399,23 @@ def _verified(rows: DataFrame, docs: DataFrame, bits: int, bucket_rows: int, wor
     if true.count() == edges.count():
         return of.drop("fps")
     of = checkpointed(of)
-    end = lambda c: of.select(F.col("whole").alias(c), F.col("root").alias(f"r{c}"))
-    failed = edges.join(end("x"), "x").join(end("y"), "y").where("rx <> ry")
+    failed = edges.join(_ends(of, "x"), "x").join(_ends(of, "y"), "y").where("rx <> ry")
     touched = checkpointed(failed.select(F.col("rx").alias("root")).union(failed.select("ry")).distinct())
-    apart = checkpointed(held.join(of, "whole").join(touched, "root", "left_semi").select("whole", F.xxhash64("root").alias("grp"), "fps", "shingles"))
-    pairs = shared_prefixes(apart, bits, least, bucket_rows).join(end("x"), "x").join(end("y"), "y")
-    late = components(holding(checkpointed(pairs.where("rx <> ry").select("x", "y", F.col("rx").alias("a"), F.col("ry").alias("b")).distinct())))
-    on = late.select(F.col("node").alias("root"), F.col("root").alias("later"))
-    return of.join(on, "root", "left").select("whole", F.coalesce("later", "root").alias("root"), "id", "n")
+    apart = checkpointed(held.join(of, "whole").join(touched, "root", "left_semi").select("whole", "fps", "shingles"))
+    counted = apart.sparkSession.sparkContext.broadcast(_counted(apart).astype(np.uint32))
+    # first one partner a text and shingle, one with few rare shingles of its own, which joins most of what belongs together; then all that are left
+    for nearest in (True, False):
+        own = apart.join(of.select("whole", F.xxhash64("root").alias("grp")), "whole")
+        pairs = shared_prefixes(own, counted, bits, least, bucket_rows, nearest).join(_ends(of, "x"), "x").join(_ends(of, "y"), "y")
+        late = components(holding(checkpointed(pairs.where("rx <> ry").select("x", "y", F.col("rx").alias("a"), F.col("ry").alias("b")).distinct())))
+        on = late.select(F.col("node").alias("root"), F.col("root").alias("later"))
+        of = of.join(on, "root", "left").select("whole", F.coalesce("later", "root").alias("root"), "id", "n")
+        of = checkpointed(of) if nearest else of
+    return of
+
+
+def _ends(of: DataFrame, c: str) -> DataFrame:
+    return of.select(F.col("whole").alias(c), F.col("root").alias(f"r{c}"))
 
 
 def _counted(apart: DataFrame, cells: int = 1 << 18, piece: int = 1 << 12) -> np.ndarray:
@@ -413,7 +449,7 @@ def _counted(apart: DataFrame, cells: int = 1 << 18, piece: int = 1 << 12) -> np
     return out
 
 
-def shared_prefixes(apart: DataFrame, bits: int, least: float, bucket_rows: int) -> DataFrame:
+def shared_prefixes(apart: DataFrame, counted: Broadcast, bits: int, least: float, bucket_rows: int, nearest: bool) -> DataFrame:
     """(x, y) of texts of different groups that may be similar, x < y, some repeatedly, from (whole, grp, fps, shingles).
 
     Shingles stand in one order, the rare first. Sets with a Jaccard similarity
@@ -421,13 +457,12 @@ def shared_prefixes(apart: DataFrame, bits: int, least: float, bucket_rows: int)
     either, and behind the first that they share there is room for the rest
     that they must share. So texts meet under these shingles alone, and only
     pairs come out that have the room, fingerprints within ``bits`` and
-    different groups. A shingle with more than ``bucket_rows`` texts is dealt
-    out to pairs of parts of them.
+    different groups; if ``nearest``, for each text and shingle only the one
+    with the fewest rare shingles. A shingle with more than ``bucket_rows``
+    texts is dealt out to pairs of parts of them.
     """
-    sent = apart.sparkSession.sparkContext.broadcast(_counted(apart).astype(np.uint32))
-
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = sent.value
+        count = counted.value
         for b in batches:
             of, at, sizes, found = [], [], [], []
             for i, x in enumerate(b.column("shingles").to_pylist()):
@@ -458,7 +493,11 @@ def shared_prefixes(apart: DataFrame, bits: int, least: float, bucket_rows: int)
                 out[at_] = (np.bitwise_count(fps[i[at_]] ^ fps[j[at_]]) <= bits).any(1)
                 return out
 
-            for i, j in run_pairs(b.column("key").to_numpy(), ok):
+            def rank(i: np.ndarray, j: np.ndarray, at=at, fps=fps) -> np.ndarray:
+                return at[j].astype(np.int64) * 65 + np.bitwise_count(fps[i] ^ fps[j]).min(1)
+
+            found = b.column("key").to_numpy()
+            for i, j in run_nearest(found, ok, rank) if nearest else run_pairs(found, ok):
                 x, y = b.column("whole").take(pa.array(i)), b.column("whole").take(pa.array(j))
                 less = pc.less(x, y)
                 yield pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x)], names=["x", "y"])
