@@ -18,7 +18,8 @@ within the bucket, level by level until the bits left bound its size.
 
 Components come from contraction: every node goes to the member of its closed
 neighbourhood with the least draw of that round, and links and the roots known
-so far are renamed. Nothing but row counts reaches the driver.
+so far are renamed; the last links, of a bounded number, are joined by one
+task. Nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 SEED = 42
+#: Links that one task joins in memory; contraction goes on until so few are left.
+LAST = 1 << 17
 #: Runs of up to so many rows are compared row by row, longer ones by search.
 FEW = 32
 
@@ -322,8 +325,8 @@ def links(fps: DataFrame, differ: int, bucket_rows: int, bits: list[int] | None
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); one root for each component."""
     edges = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    of, turn = edges.select(F.col("a").alias("node"), F.col("b").alias("root")), 0
-    while not edges.isEmpty():
+    of, turn = None, 0
+    while (left := edges.count()) > LAST:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # new draws every other turn: what a star's middle went to, its points go to the turn after
         draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn // 2)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
@@ -337,7 +340,35 @@ def components(edges: DataFrame) -> DataFrame:
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         edges = checkpointed(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
-    return of
+    if not left:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if of is None else of
+    kind = edges.schema["a"].dataType.simpleString()
+    rest = checkpointed(edges.coalesce(1).mapInArrow(united, f"node {kind}, root {kind}"))
+    if of is None:
+        return rest
+    on = rest.select(F.col("node").alias("old"), F.col("root").alias("to"))
+    return checkpointed(of.join(on, F.col("root") == F.col("old"), "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of all links; the root is one of its component."""
+    at: dict = {}
+
+    def root(x):
+        while (up := at.setdefault(x, x)) != x:
+            at[x] = x = at.setdefault(up, up)
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field("a").type
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                at[y] = x
+    if at:
+        nodes = list(at)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "root"])
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:

@@ -89,10 +89,13 @@ def test_links_of_crowded_buckets_keep_components(spark, differ, monkeypatch):
         assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
 
 
-def test_components_of_long_chains_and_stars(spark):
+@pytest.mark.parametrize("last", [0, 20, 1000])  # contracted to the end, to a few links, and not at all
+def test_components_of_long_chains_and_stars(spark, last, monkeypatch):
+    monkeypatch.setattr(simhash, "LAST", last)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert len({got[i] for i in range(61)}) == 1 and len({got[1000 + i] for i in range(80)}) == 1 and got[0] != got[1000]
+    assert len({got[i] for i in range(61)}) == 1 and len({got[1000 + i] for i in range(80)}) == 1 and got[0] != got[1000] and set(got.values()) <= set(got)
+    assert simhash.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
 
 
 def test_verified_links(spark, documents):
