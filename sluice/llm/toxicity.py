@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic text
-without the words that the ordinary sample has, too, so that its few bytes go
-to what sets toxic text apart. A text is cut into windows of whole words, some
+without the words that the ordinary sample has, too, or that few toxic texts
+share, so that its few bytes go to what sets toxic text apart. A text is cut into windows of whole words, some
 64 bytes each, and every window is compressed twice: with the ordinary
 dictionary, and with the toxic one laid before the ordinary. What has nothing
 toxic costs the same either way; the bytes that the toxic dictionary saves are
@@ -18,6 +18,7 @@ that third.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log, sqrt
 from zlib import crc32
@@ -36,6 +37,8 @@ CARRIER = bytes((0xC0, 0xF5, 0xFF, 0xC1, 0xF9, 0xFD, 0xF6, 0xFB, 0xC0, 0xFA, 0xF
 WINDOW = 64
 #: Bytes of sample text that a dictionary is trained on at a time.
 PART = 1024
+#: Toxic sample texts that must share a word for the toxic dictionary to be trained on it.
+SHARED = 3
 #: Shares of ordinary windows beyond the calibrated distances.
 BEYOND = (0.03, 0.01, 0.003, 0.001, 0.0003, 0.0001)
 
@@ -135,7 +138,11 @@ class Toxicity:
         known = {w for t in plain for w in t}
         line = lambda words: b" " + b" ".join(words) + b" "
         self.ordinary = trained([line(t) for t in plain], ordinary_bytes, 24, 6)
-        self.toxic = trained([line(w) for t in toxic if (w := [x for x in plain_words(t) if x not in known])], toxic_bytes, 16, 8)
+        own = [[w for w in plain_words(t) if w not in known] for t in toxic]
+        # what one text alone has is chance; a few texts must share it
+        shared = Counter(w for t in own for w in set(t))
+        some = [kept for t in own if (kept := [w for w in t if shared[w] >= SHARED])]
+        self.toxic = trained([line(t) for t in some or own if t], toxic_bytes, 16, 8)
 
     def _calibrate(self, ordinary: np.ndarray) -> None:
         """The least distances, rising and above 0, that no more than each share of ordinary windows reach."""
